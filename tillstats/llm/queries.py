@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sstable
+from . import bpe, fingerprints, near_dedup, packing, sstable
 from .common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -26,5 +26,13 @@ def op3_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids)}
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids, op5_fingerprints, op6_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
