@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, near_dedup, packing, sstable, suffix_dedup
+from . import bpe, embed_dedup, fingerprints, near_dedup, packing, sstable, suffix_dedup
 from .common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -38,5 +38,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids, op5_fingerprints, op6_minhash_near_dedup, op9_suffix_dedup)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids, op5_fingerprints, op6_minhash_near_dedup, op9_suffix_dedup, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
