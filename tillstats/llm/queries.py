@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, fingerprints, near_dedup, packing, sstable, suffix_dedup
+from . import bpe, embed_dedup, fingerprints, html_extract, near_dedup, packing, sstable, suffix_dedup, toxicity, url_filter
 from .common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,5 +42,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids, op5_fingerprints, op6_minhash_near_dedup, op9_suffix_dedup, op10_embedding_near_dedup)}
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids, op4_html_extraction, op5_fingerprints, op6_minhash_near_dedup, op7_toxicity, op8_url_filter, op9_suffix_dedup, op10_embedding_near_dedup)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {}
