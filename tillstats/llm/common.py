@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +40,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, without their lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def gathered(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size on the driver, by way of Arrow."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}

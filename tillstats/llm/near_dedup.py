@@ -37,7 +37,7 @@ REGISTERS, MANTISSA, ROWS = 128, 16, 4
 #: The likeness from which documents link, as 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Slots of the table of shingle counts that orders shingles; it is broadcast, 4 bytes a slot.
-COUNT_SLOTS = 1 << 20
+COUNT_SLOTS = 1 << 18
 #: Chance that two different hashes give one register: equal zeros (1/3) and equal mantissa.
 _COLLISION = 2.0**-MANTISSA / 3
 SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
@@ -202,9 +202,9 @@ def _prefix_pairs(sets: DataFrame, groups: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
 
     own = sets.join(groups.select("rep", "comp"), "rep")
-    table = own.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = common.gathered(own.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     counts = np.zeros(COUNT_SLOTS, np.uint32)
-    counts[table["slot"].to_numpy()] = np.minimum(table["n"].to_numpy(), 2**32 - 1)
+    counts[table["slot"]] = np.minimum(table["n"], 2**32 - 1)
     shared = spark.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,8 +120,8 @@ def place(pieces_: DataFrame, capacities: Capacities = Capacities(), score: str
     ``pieces_`` is read three times, so it should be a written table.
     """
     per_bucket = pieces_.groupBy("bucket", "length").agg(F.count("*").alias("n"))
-    histogram = per_bucket.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # at most capacities.tokens rows
-    events = plan(histogram["length"].to_numpy(), histogram["n"].to_numpy(), capacities, score)
+    histogram = common.gathered(per_bucket.groupBy("length").agg(F.sum("n").alias("n")))  # at most capacities.tokens rows
+    events = plan(histogram["length"], histogram["n"], capacities, score)
     order = np.lexsort((events["rank"], events["length"]))
     lengths, ranks, first, offsets = (events[k][order] for k in ("length", "rank", "sequence", "offset"))
     # one sorted key for (length, rank): ranks stay far below 2**44

@@ -262,11 +262,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], Calibra
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = rows.withColumn("part", F.least(fold(F.col("doc_id")), F.lit(PARTS - 1)).cast("int"))
     lexicons = learn_lexicons(rows)
-    sample = featured(rows, lexicons).toPandas().sort_values("doc_id", kind="stable")
-    y = sample["toxic"].to_numpy(float)
+    sample = common.gathered(featured(rows, lexicons))  # bounded by MOST_LABELLED
+    order = np.argsort(sample["doc_id"], kind="stable")
+    y = sample["toxic"][order].astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    return lexicons[-1], Calibrated(np.stack(sample["x"].to_numpy()), y)
+    return lexicons[-1], Calibrated(np.stack(sample["x"][order]), y)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textbuf
+from . import common, textbuf
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 ORDER, STRENGTH, SLOTS, BINS, FOLDS = 4, 2.0, 1 << 18, 512, 5
@@ -112,9 +112,9 @@ def train(rows: DataFrame) -> tuple[Model, Model] | None:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["slot", "n"])
 
     # at most 4 * SLOTS rows, whatever the number of URLs
-    found = rows.select("text", "verdict").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = common.gathered(rows.select("text", "verdict").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     table = np.zeros(4 * SLOTS, np.int64)
-    table[found["slot"].to_numpy()] = found["n"].to_numpy()
+    table[found["slot"]] = found["n"]
     table = table.reshape(2, 2, SLOTS)
     return (Model(table[0]), Model(table[1])) if table[0].any() and table[1].any() else None
 
@@ -151,9 +151,9 @@ def _scored(rows: DataFrame, models: tuple[Model, Model]) -> DataFrame:
 
 def calibrate(rows: DataFrame, models: tuple[Model, Model]) -> np.ndarray:
     """Probability of a block by score bin, from rows (text, verdict) that the models haven't seen."""
-    found = _scored(rows, models).groupBy("verdict", _bin(F.col("score")).alias("bin")).agg(F.count("*").alias("n")).toPandas()  # 2 * BINS rows at most
+    found = _scored(rows, models).groupBy("verdict", _bin(F.col("score")).alias("bin")).agg(F.count("*").alias("n")).collect()  # 2 * BINS rows at most
     counts = np.zeros((2, BINS))
-    for verdict, k, n in found.itertuples(index=False):
+    for verdict, k, n in found:
         counts[int(verdict == "block"), int(k)] += n
     if not counts.sum(axis=1).all():
         return (np.arange(BINS) >= BINS / 2).astype(float)
