@@ -41,20 +41,11 @@ GRAM = 20
 _BITS = np.uint64(40)
 _LEAST = np.iinfo(np.int64).min
 #: Windows ordered at once within a partition.
-_MOST_WINDOWS = 1_000_000
+_MOST_WINDOWS = 400_000
 MESSAGES = "to int, chunk int, body binary"
 ANSWERS = "chunk int, kind int, to int, body binary"
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """A scrambled 64-bit value of the GRAM bytes from each place."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    every = np.arange(n)
-    return textbuf.SpanHash(data)(every, every + GRAM)
-
-
 def minimizers(values: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` values, the place of its least one (the last of equals)."""
     n = len(values) - width + 1
@@ -70,25 +61,41 @@ def minimizers(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(values[left] < values[right], left, right)
 
 
-class Windows:
-    """All windows of a chunk's documents: start, document and minimizer."""
+class Strings:
+    """The strings of a chunk's documents: runs of neighbouring windows of one document with one minimizer.
+
+    For each its first window's start and document, the number of windows, the place of the gram from the
+    start, the gram's scrambled value, and a hash of the string and that place. Worked out for slices of whole documents.
+    """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, length: int):
-        self.data, self.offs, self.length = data, offs, length
-        n = max(0, len(data) - length + 1)
-        doc = np.searchsorted(offs, np.arange(n), "right") - 1
-        inside = np.arange(n) + length <= offs[doc + 1] if n else np.zeros(0, bool)
-        values = grams(data)
+        parts = [self._of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, offs[lo], length) for lo, hi in textbuf.slices(offs)]
+        kinds = (np.int64, np.int64, np.int64, np.uint8, np.uint64, np.uint64)
+        columns = zip(*parts, strict=True) if parts else [()] * 6
+        self.start, self.doc, self.count, self.gram, self.key, self.hash = (np.concatenate([np.zeros(0, k), *c]) for c, k in zip(columns, kinds, strict=True))
+
+    @staticmethod
+    def _of(data: np.ndarray, offs: np.ndarray, doc0: int, start0: int, length: int) -> tuple[np.ndarray, ...]:
+        n = len(data) - length + 1
+        if n <= 0:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        size = np.diff(offs)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[:n]
+        end = np.repeat(offs[1:], size)[:n]
+        hashed = textbuf.SpanHash(data)
+        every = np.arange(len(data) - GRAM + 1)
+        values = hashed(every, every + GRAM)
         at = minimizers(values, length - GRAM + 1)
-        self.start = np.flatnonzero(inside)
-        self.doc = doc[inside]
-        self.at = at[inside]
-        self.key = values[self.at]
-        # a string: neighbouring windows of one document with the same minimizer
-        new = np.ones(len(self.start), bool)
-        new[1:] = (self.at[1:] != self.at[:-1]) | (self.doc[1:] != self.doc[:-1]) | (self.start[1:] != self.start[:-1] + 1)
-        self.first = np.flatnonzero(new)
-        self.count = np.diff(np.append(self.first, len(new)))
+        start = np.flatnonzero(np.arange(n) + length <= end)
+        doc, at = doc[start], at[start]
+        new = np.ones(len(start), bool)
+        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(new)))
+        start, at = start[first], at[first]
+        gram = (at - start).astype(np.uint8)
+        whole = hashed(start, start + count + length - 1) ^ textbuf.mix(gram.astype(np.uint64))
+        return start + start0, doc[first].astype(np.int64) + doc0, count, gram, values[at], whole
 
 
 def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +145,13 @@ class Chunk:
         self.data, self.offs = textbuf.buffer_of(table.column("text").take(pa.array(order)))
         self.length = length
 
-    def windows(self) -> Windows:
-        return Windows(self.data, self.offs, self.length)
+    def all_strings(self) -> Strings:
+        return Strings(self.data, self.offs, self.length)
 
     def announced(self, parts: int) -> Iterator[tuple[int, bytes]]:
         """(partition, body): distinct minimizers and whether several documents of the chunk hold each."""
-        w = self.windows()
-        key, doc = w.key[w.first], self.ids[w.doc[w.first]]
+        w = self.all_strings()
+        key, doc = w.key, self.ids[w.doc]
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         new = np.ones(len(key), bool)
@@ -163,21 +170,17 @@ class Chunk:
 
     def strings(self, parts: int, live: dict[int, np.ndarray]) -> dict:
         """The distinct strings behind live minimizers; ``place`` numbers them within their partition."""
-        w = self.windows()
-        part, digit = _split(w.key[w.first], parts)
+        w = self.all_strings()
+        part, digit = _split(w.key, parts)
         alive = np.zeros(len(part), bool)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         for p, digits in live.items():
             own = order[bounds[p] : bounds[p + 1]]
             alive[own] = np.isin(digit[own], digits)
-        first, count = w.first[alive], w.count[alive]
-        start, doc = w.start[first], w.doc[first]
-        size = count + self.length - 1
-        minimizer = (w.at[first] - start).astype(np.uint8)  # place of the gram in the first window
-        part, digit = part[alive], digit[alive]
+        start, doc, count, minimizer, hashed = (c[alive] for c in (w.start, w.doc, w.count, w.gram, w.hash))
+        size, part, digit = count + self.length - 1, part[alive], digit[alive]
         # equal strings of the chunk are one: same bytes, same gram
-        hashed = textbuf.SpanHash(self.data)(start, start + size) ^ textbuf.mix(minimizer.astype(np.uint64))
         raw = self.data.tobytes()
         seen: dict[tuple, int] = {}
         number = np.zeros(len(start), np.int64)
@@ -204,15 +207,18 @@ class Chunk:
                 at, bits = _parts(answers[part])
                 smaller[s["number"][own][np.frombuffer(at, "<u4")]] = np.frombuffer(bits, "<u8")
         head = self.ids[s["doc"][s["once"]]][s["number"]]
-        rows = np.repeat(np.arange(len(s["start"])), s["count"])
-        window = textbuf.ragged(np.zeros(len(s["start"]), np.int64), s["count"])
-        hit = (smaller[s["number"]][rows] >> window.astype(np.uint64) & np.uint64(1)).astype(bool)
-        hit |= (self.ids[s["doc"]] > head)[rows]
-        starts = s["start"][rows[hit]] + window[hit]
+        repeated = self.ids[s["doc"]] > head
         step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + self.length, -1)
-        return np.cumsum(step[:-1]) > 0
+        for lo in range(0, len(s["start"]), 20_000):
+            own = slice(lo, lo + 20_000)
+            count = s["count"][own]
+            rows = np.repeat(np.arange(len(count)), count)
+            window = textbuf.ragged(np.zeros(len(count), np.int64), count)
+            hit = (smaller[s["number"][own]][rows] >> window.astype(np.uint64) & np.uint64(1)).astype(bool) | repeated[own][rows]
+            starts = s["start"][own][rows[hit]] + window[hit]
+            np.add.at(step, starts, 1)
+            np.add.at(step, starts + self.length, -1)
+        return np.cumsum(step[:-1], out=step[:-1]) > 0
 
 
 def _by_part(s: dict, parts: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once, so that temporary arrays stay near 200 MB.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once, so that temporary arrays stay near 60 MB.
+SLICE_BYTES = (1 << 20) - 1
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
