@@ -78,9 +78,7 @@ def _binary(data: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``df`` and ``ids``, the little-endian 32-bit ids of ``text``."""
-
+def _encoder(path: str, pattern: str, text: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
@@ -89,27 +87,40 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                 found, bounds = coder.encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield _with_column(batch, lo, hi, ids, _binary(found.astype("<u4").view(np.uint8), bounds * 4))
 
-    return df.mapInArrow(run, df.withColumn(ids, F.lit(b"")).schema)
+    return run
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """All columns of ``df`` and ``decoded``, the raw bytes that ``ids`` stand for."""
-
+def _decoder(path: str, pattern: str, ids: str, decoded: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode_bytes = _encoding(path, pattern).decode_bytes
         for batch in batches:
             data, offs = textbuf.buffer_of(batch.column(batch.schema.names.index(ids)))
-            for lo, hi in textbuf.slices(offs):
+            for lo, hi in textbuf.slices(offs, 2 * textbuf.SLICE_BYTES):
                 rows = [decode_bytes(data[offs[i] : offs[i + 1]].view("<u4").tolist()) for i in range(lo, hi)]
                 yield _with_column(batch, lo, hi, decoded, pa.array(rows, pa.binary()))
 
-    return df.mapInArrow(run, df.withColumn(decoded, F.lit(b"")).schema)
+    return run
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """All columns of ``df`` and ``ids``, the little-endian 32-bit ids of ``text``."""
+    return df.mapInArrow(_encoder(path, pattern, text, ids), df.withColumn(ids, F.lit(b"")).schema)
+
+
+def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """All columns of ``df`` and ``decoded``, the raw bytes that ``ids`` stand for."""
+    return df.mapInArrow(_decoder(path, pattern, ids, decoded), df.withColumn(decoded, F.lit(b"")).schema)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: all columns of ``df``, ``ids`` and ``decoded``."""
+    there, back = _encoder(path, pattern, text, "ids"), _decoder(path, pattern, "ids", "decoded")
+    return df.mapInArrow(lambda batches: back(there(batches)), df.withColumn("ids", F.lit(b"")).withColumn("decoded", F.lit(b"")).schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids"), path, pattern)
-    return coded.select(
+    return round_trip(docs.select("doc_id", "text"), path, pattern).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -15,7 +15,7 @@ import numpy as np
 from . import textbuf
 
 #: Chunks remembered by one worker before it starts anew (about 30 bytes each and their ids).
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 1_000_000
 
 
 class ChunkEncoder:
@@ -26,21 +26,17 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._keys, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self._at, self._count, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._keys, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._at, self._count, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, places: np.ndarray, texts: list[bytes]) -> None:
+        """Adds chunks whose ascending keys belong at ``places`` of the known ones."""
         ids = self._encode_many([t.decode("utf-8", "replace") for t in texts])
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((i for row in ids for i in row), np.uint32, int(count.sum()))
-        at = np.cumsum(count) - count + len(self._pool)
-        every = np.concatenate([self._keys, keys])
-        order = np.argsort(every, kind="stable")
-        self._keys = every[order]
-        self._sizes = np.concatenate([self._sizes, np.fromiter(map(len, texts), np.int64, len(texts))])[order]
-        self._at = np.concatenate([self._at, at])[order]
-        self._count = np.concatenate([self._count, count])[order]
-        self._pool = np.concatenate([self._pool, pool])
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        self._at = np.insert(self._at, places, np.cumsum(count) - count + len(self._pool))
+        self._keys, self._count = np.insert(self._keys, places, keys), np.insert(self._count, places, count)
+        self._sizes = np.insert(self._sizes, places, np.fromiter(map(len, texts), np.int32, len(texts)))
+        self._pool = np.concatenate([self._pool, np.fromiter((i for row in ids for i in row), np.uint32, int(count.sum()))])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice as uint32, and each document's bounds."""
@@ -57,7 +53,7 @@ class ChunkEncoder:
         known[known] = self._keys[at[known]] == keys[known]
         if not known.all():
             new = np.flatnonzero(~known)
-            self._learn(keys[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._learn(keys[new], at[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
             at = np.searchsorted(self._keys, keys)
         if not np.array_equal(self._sizes[at[back]], ends - starts):
             raise RuntimeError("two chunks of different lengths share a 64-bit hash")
