@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,14 +137,12 @@ class Chunk:
     """The documents of one chunk in ascending order of id, then text."""
 
     def __init__(self, table: pa.Table, length: int):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = table.column("doc_id")
+        order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start")
+        self.table, self.length = table.take(order), length
+        ids = self.table.column("doc_id")
         self.null = ids.is_null().to_numpy()
         self.ids = ids.fill_null(_LEAST).to_numpy()
-        order = np.argsort(self.ids, kind="stable")
-        self.ids, self.null = self.ids[order], self.null[order]
-        self.data, self.offs = textbuf.buffer_of(table.column("text").take(pa.array(order)))
-        self.length = length
+        self.data, self.offs = textbuf.buffer_of(self.table.column("text"))
 
     def all_strings(self) -> Strings:
         return Strings(self.data, self.offs, self.length)
@@ -349,12 +348,15 @@ _MESSAGE = [("to", pa.int32()), ("chunk", pa.int32()), ("body", pa.binary())]
 _ANSWER = [("chunk", pa.int32()), ("kind", pa.int32()), ("to", pa.int32()), ("body", pa.binary())]
 
 
-def spans(docs: DataFrame, make, schema: str, length: int = 50) -> DataFrame:
-    """Applies ``make(chunk, covered)``, which returns an Arrow table, to each chunk of ``docs`` (doc_id, text)."""
+def spans(docs: DataFrame, make, schema, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Applies ``make(chunk, covered)``, which returns an Arrow table, to each chunk of ``docs`` (doc_id, text).
+
+    The columns ``keep`` come along as ``keep0``, ``keep1`` and so on.
+    """
     if not GRAM <= length <= 64 + GRAM - 2:
         raise ValueError(f"length must lie between {GRAM} and {64 + GRAM - 2}")
     parts = common.partitions(docs.sparkSession)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
     chunks = dealt.repartition(parts, "chunk")
 
     def announce(key, table):
@@ -417,12 +419,13 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
     return spans(docs, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
 
 
-def trim(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, text (what is left, without cut characters) and n_removed (bytes) of each row."""
+def trimmed(docs: DataFrame, length: int = 50) -> DataFrame:
+    """All columns of ``docs``; ``text`` is what is left, without characters that a removal cut through."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
     def make(chunk: Chunk, covered: np.ndarray) -> pa.Table:
         left = [k.decode("utf-8", "ignore") for k in _kept(chunk, covered)]
         ids = pa.array(chunk.ids, pa.int64(), mask=chunk.null)
-        return pa.table([ids, pa.array(left, pa.string()), pa.array(_runs(chunk, covered)[0])], names=["doc_id", "text", "n_removed"])
+        return pa.table([ids, pa.array(left, pa.string()), *(chunk.table.column(f"keep{i}") for i in range(len(others)))], names=["doc_id", "text", *others])
 
-    return spans(docs, make, "doc_id long, text string, n_removed long", length)
+    return spans(docs, make, docs.select("doc_id", "text", *others).schema, length, others).select(*docs.columns)
