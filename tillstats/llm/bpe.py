@@ -103,17 +103,20 @@ def _decoder(path: str, pattern: str, ids: str, decoded: str):
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``df`` and ``ids``, the little-endian 32-bit ids of ``text``."""
+    """All columns of ``df`` and ``ids``, the little-endian 32-bit ids of ``text``; a column of that name is replaced."""
+    df = df.drop(ids)
     return df.mapInArrow(_encoder(path, pattern, text, ids), df.withColumn(ids, F.lit(b"")).schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """All columns of ``df`` and ``decoded``, the raw bytes that ``ids`` stand for."""
+    """All columns of ``df`` and ``decoded``, the raw bytes that ``ids`` stand for; a column of that name is replaced."""
+    df = df.drop(decoded)
     return df.mapInArrow(_decoder(path, pattern, ids, decoded), df.withColumn(decoded, F.lit(b"")).schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``encode`` and ``decode`` in one pass: all columns of ``df``, ``ids`` and ``decoded``."""
+    df = df.drop("ids", "decoded")
     there, back = _encoder(path, pattern, text, "ids"), _decoder(path, pattern, "ids", "decoded")
     return df.mapInArrow(lambda batches: back(there(batches)), df.withColumn("ids", F.lit(b"")).withColumn("decoded", F.lit(b"")).schema)
 

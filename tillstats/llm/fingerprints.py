@@ -3,7 +3,7 @@
 Every word shingle is hashed once; its top bits name a bin, and each bin keeps the
 smallest hash. An empty bin j copies the first filled bin of a fixed random order
 of all bins that belongs to j alone (the same for every document), so equal sets always give
-equal fingerprints. Of each bin only the low-order bits are stored; the share of equal bins is
+equal fingerprints. Of each bin's hash, scrambled by bin, only the low-order bits are stored; the share of equal bins is
 corrected for chance: likeness = (share - 2**-bits) / (1 - 2**-bits), cut to 0..1.
 
 Defined results: a null text counts as empty; a text without words has the empty
@@ -42,21 +42,25 @@ def registers(data: np.ndarray, offs: np.ndarray, bins: int = BINS, bits: int =
     """One row of stored bits per document; rows without words hold 255 throughout."""
     n, shift = len(offs) - 1, np.uint64(64 - (bins - 1).bit_length())
     hashes, bounds = textbuf.shingle_sets(data, offs, words)
-    out = np.full((n, bins), _EMPTY, np.uint8)
+    least = np.zeros((n, bins), np.uint64)
+    full = np.zeros((n, bins), bool)
     doc = np.repeat(np.arange(n), np.diff(bounds))
     cell = doc * bins + (hashes >> shift).astype(np.int64)
     first = np.ones(len(cell), bool)
     first[1:] = cell[1:] != cell[:-1]  # hashes ascend within a document, so the first of a bin is its least
-    out.reshape(-1)[cell[first]] = (hashes[first] & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    least.reshape(-1)[cell[first]] = hashes[first]
+    full.reshape(-1)[cell[first]] = True
     some = bounds[1:] > bounds[:-1]
-    row, bin_ = np.nonzero((out == _EMPTY) & some[:, None])
-    filled, orders, t = out.copy(), _orders(bins), 0
+    row, bin_ = np.nonzero(~full & some[:, None])
+    orders, t = _orders(bins), 0
     while len(row):
-        value = out[row, orders[bin_, t]]
-        got = value != _EMPTY
-        filled[row[got], bin_[got]] = value[got]
+        source = orders[bin_, t]
+        got = full[row, source]
+        least[row[got], bin_[got]] = least[row[got], source[got]]
         row, bin_, t = row[~got], bin_[~got], t + 1
-    return filled
+    # scrambled by bin, so that bins with one source don't agree by chance all at once
+    mixed = textbuf.mix(least + np.arange(1, bins + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.where(some[:, None], mixed & np.uint64((1 << bits) - 1), np.uint64(_EMPTY)).astype(np.uint8)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -90,6 +94,7 @@ def fingerprint(df: DataFrame, text: str = "text", bins: int = BINS, bits: int =
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(as_hex(rows, bits), pa.string())], names=[*part.schema.names, "fingerprint"])
 
+    df = df.drop("fingerprint")
     return df.mapInArrow(run, df.withColumn("fingerprint", F.lit("")).schema)
 
 

@@ -224,7 +224,9 @@ def _by_part(s: dict, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """The distinct strings by partition, in a fixed order."""
     once = s["once"][np.argsort(s["part"][s["once"]], kind="stable")]
     part = s["part"][once]
-    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    if not len(part):
+        return
+    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     for lo, hi in zip(bounds, np.append(bounds[1:], len(part)), strict=True):
         yield int(part[lo]), once[lo:hi]
 
@@ -246,7 +248,9 @@ def alive(bodies: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray]]:
     digit, owner = digit[live], owner[live]
     order = np.argsort(owner, kind="stable")
     digit, owner = digit[order], owner[order]
-    bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+    if not len(owner):
+        return []
+    bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     return [(int(owner[lo]), digit[lo:hi]) for lo, hi in zip(bounds, np.append(bounds[1:], len(owner)), strict=True)]
 
 
