@@ -118,7 +118,7 @@ def test_components(spark):
     nodes = {n for e in edges for n in e}
     found = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(edges, graph.EDGES).repartition(5)).collect()}
     expected = components(nodes, edges)
-    assert all(found.get(n, n) == expected[n] for n in nodes)
+    assert all(found.get(n, n) == expected[n] for n in nodes) and all(n != c for n, c in found.items())
     assert graph.components(spark.createDataFrame([], graph.EDGES)).count() == 0
 
 

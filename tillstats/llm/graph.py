@@ -3,7 +3,8 @@
 Alternates two star operations over the whole table: every node hands its smallest
 neighbour to its larger neighbours (large star), then to its smaller ones and itself
 (small star), until nothing changes; each node then points to the smallest of its
-component. Before that, tasks contract the edges they hold to spanning forests.
+component. Each is one exchange and one pass over sorted edges. Before that, tasks
+contract the edges they hold to spanning forests.
 """
 
 from __future__ import annotations
@@ -52,23 +53,46 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, EDGES)
 
 
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """One star operation over edges (a, b), grouped by ``a``, in one exchange; memory doesn't depend on a node's degree.
+
+    Large: each ``a`` hands its smallest neighbour (or itself) to its larger ones. Small: all ``b`` are
+    smaller than ``a``, which hands the smallest to the others and itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, least, last = None, None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.append(a[0] != key if key is not None else True, a[1:] != a[:-1])
+            again = ~new & (b == np.append(last if last is not None else b[0], b[:-1]))
+            first = np.flatnonzero(new)
+            heads = np.minimum(a[first], b[first]) if large else b[first]
+            m = np.concatenate([[] if new[0] else [least], heads]).astype(np.int64)[np.cumsum(new) - int(new[0])]
+            keep = ~again & ((b > a) if large else (b != m))
+            out_a, out_b = m[keep], b[keep]
+            if not large:
+                out_a, out_b = np.append(out_a, heads), np.append(out_b, a[first])
+            key, least, last = a[-1], m[-1], b[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b)], names=["a", "b"])
+
+    return edges.repartition(common.partitions(edges.sparkSession), "a").sortWithinPartitions("a", "b").mapInArrow(run, EDGES)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable."""
-    now = common.cut(contracted(edges.where("a <> b")).distinct())
+    """(node, component) for every node of ``edges`` (a, b) that isn't the smallest of its component."""
+    now = common.cut(contracted(edges.where("a <> b")))  # a < b from here on
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("k")).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        # now each row (a, b) has a < b: b's smaller neighbours are its a
-        least = large.groupBy("b").agg(F.min("a").alias("m")).withColumnRenamed("b", "k")
-        small = large.join(least, F.col("b") == F.col("k")).select(F.col("m"), F.explode(F.array("a", "b")).alias("v")).where("m <> v").distinct()
-        now = common.cut(small.select(F.col("m").alias("a"), F.col("v").alias("b")))
+        large = _stars(both, large=True)
+        now = common.cut(_stars(large.select(F.col("b").alias("a"), F.col("a").alias("b")), large=False))
         state, before = _state(now), state
         if state == before:
             break
-    nodes = now.groupBy("b").agg(F.min("a").alias("component")).withColumnRenamed("b", "node")
-    return nodes.union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:

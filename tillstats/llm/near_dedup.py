@@ -128,7 +128,8 @@ def _shingles_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
-    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+    # grouped where the join has put them: no further exchange
+    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
     return wanted.mapInArrow(run, "rep long, hashes binary")
 
 
@@ -244,8 +245,8 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     signed = common.cut(signatures(docs, words))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    heads = some.join(classes.select("rep"), some["doc_id"] == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    reps = common.cut(heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"))
+    heads = some.join(classes.select("rep"), some["doc_id"] == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
+    reps = common.cut(heads.agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("s")).select("rep", "s.n", "s.sketch"))
 
     bands = _bands(reps)
     full = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
@@ -254,7 +255,7 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     weighed = buckets.join(central, "rep")
     lead = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("m")).select("band", (-F.col("m.minus")).alias("lead"), F.col("m.n").alias("lead_n"))
     stars = buckets.join(lead, "band").where(f"rep <> lead and 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = common.cut(_shingles_of(docs, buckets.select("rep").distinct(), words).dropDuplicates(["rep"]))
+    sets = common.cut(_shingles_of(docs, buckets.select("rep").distinct(), words))
     found = common.cut(_verified(_hopeful(stars, reps), sets))
 
     first = graph.components(found).withColumnsRenamed({"node": "rep", "component": "comp"})
