@@ -48,24 +48,47 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+@cache
+def _rotations(d: int) -> np.ndarray:
+    """All rotations side by side, as the fast transform turns the unit vectors; (d, TABLES * HASHES * d)."""
+    turned = []
+    for t in range(TABLES):
+        for k in range(HASHES):
+            x = np.eye(d)
+            for r in range(3):
+                x = hadamard(x * _signs(d)[t, k, r])
+            turned.append(x)
+    return np.concatenate(turned, axis=1)
+
+
+def _turned(padded: np.ndarray) -> np.ndarray:
+    """(n, TABLES * HASHES, d): by one matrix product for short vectors, by the fast transform for long ones."""
+    n, d = padded.shape
+    if d <= 256:
+        return (padded @ _rotations(d)).reshape(n, -1, d)
+    out = np.empty((n, TABLES * HASHES, d))
+    for j in range(TABLES * HASHES):
+        x = padded
+        for r in range(3):
+            x = hadamard(x * _signs(d)[j // HASHES, j % HASHES, r])
+        out[:, j] = x
+    return out
+
+
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, TABLES) own codes and (n, TABLES, HASHES) codes with one hash replaced by its second choice."""
     n, d0 = unit.shape
     d = 1 << max(1, (d0 - 1).bit_length())
     padded = np.zeros((n, d))
     padded[:, :d0] = unit
-    best, second = np.zeros((2, n, TABLES, HASHES), np.int64)
-    row = np.arange(n)
-    for t in range(TABLES):
-        for k in range(HASHES):
-            x = padded
-            for r in range(3):
-                x = hadamard(x * _signs(d)[t, k, r])
-            size = np.abs(x)
-            for out in (best, second):
-                at = size.argmax(axis=1)
-                out[:, t, k] = 2 * at + (x[row, at] < 0)
-                size[row, at] = -1
+    # near ties would follow rounding: equal inputs must give equal codes whatever the batch
+    x = np.round(_turned(padded), 9)
+    size, found = np.abs(x), []
+    for _ in range(2):
+        at = size.argmax(axis=2)[:, :, None]
+        found.append((2 * at + (np.take_along_axis(x, at, 2) < 0))[:, :, 0].reshape(n, TABLES, HASHES))
+        np.put_along_axis(size, at, -1, 2)
+    best, second = found
     weight = (2 * d) ** np.arange(HASHES)
     own = (best * weight).sum(axis=2)
     return own, own[:, :, None] + (second - best) * weight
@@ -78,89 +101,179 @@ def _unit(column: pa.Array) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
+def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors, (n, TABLES, 1 + HASHES) codes, home first, and the buckets these name, of rows (rep, label, embedding) of one length."""
+    unit = _unit(part.column(2))
+    own, others = codes(unit)
+    visited = np.concatenate([own[:, :, None], others], axis=2)
+    salt = textbuf.mix(part.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(unit.shape[1]))
+    key = textbuf.mix(visited.astype(np.uint64) * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[None, :, None] + salt[:, None, None])
+    return unit, visited, key
+
+
+def _by_length(batch: pa.RecordBatch, rows: int = 1_000):
+    """Parts of a batch whose embeddings (column 2) have one length."""
+    column = batch.column(2)
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    for d in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == d)
+        for lo in range(0, len(own), rows):
+            yield batch.take(pa.array(own[lo : lo + rows]))
+
+
 def _scattered(classes: DataFrame) -> DataFrame:
-    """A row per class and bucket it lives in or visits."""
+    """A narrow row per class and bucket it lives in or visits."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _by_length(batch):
+                _, visited, key = _coded(part)
+                n, per = len(part), TABLES * (1 + HASHES)
+                columns = [
+                    pa.array(key.reshape(-1).view(np.int64)),
+                    pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + HASHES), n)),
+                    pa.array(visited.reshape(-1)),
+                    pa.array(np.tile([True] + [False] * HASHES, n * TABLES)),
+                    part.column(0).take(pa.array(np.repeat(np.arange(n), per))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "t", "code", "home", "rep"])
+
+    return classes.select("rep", "label", "embedding").mapInArrow(run, "bucket long, t int, code long, home boolean, rep long")
+
+
+def _vectors(classes: DataFrame) -> DataFrame:
+    """(rep, w, codes, vector) with the codes of all tables and the unit vector."""
 
     def run(batches):
         for batch in batches:
-            column = batch.column(2)
-            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, int)
-            for d in np.unique(sizes).tolist():
-                for chosen in np.array_split(np.flatnonzero(sizes == d), max(1, len(sizes) * d // 500_000)):
-                    if not len(chosen):
-                        continue
-                    part = batch.take(pa.array(chosen))
-                    unit = _unit(part.column(2))
-                    own, others = codes(unit)
-                    label = part.column(1).to_numpy().astype(np.uint64)
-                    salt = textbuf.mix(label * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
-                    visited = np.concatenate([own[:, :, None], others], axis=2)  # the first is home
-                    key = textbuf.mix(visited.astype(np.uint64) * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[None, :, None] + salt[:, None, None])
-                    n, per = len(chosen), TABLES * (1 + HASHES)
-                    at = pa.array(np.repeat(np.arange(n), per))
-                    all_codes = [r.tobytes() for r in visited.reshape(n, -1).astype("<i8")]
-                    vectors = [r.tobytes() for r in unit.astype("<f8")]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key.reshape(-1).view(np.int64)),
-                            pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + HASHES), n)),
-                            pa.array(visited.reshape(-1)),
-                            pa.array(np.tile([True] + [False] * HASHES, n * TABLES)),
-                            part.column(0).take(at),
-                            part.column(3).take(at),
-                            pa.array(all_codes, pa.binary()).take(at),
-                            pa.array(vectors, pa.binary()).take(at),
-                        ],
-                        names=["bucket", "t", "code", "home", "rep", "w", "codes", "vector"],
-                    )
-
-    rows = classes.select("rep", "label", "embedding", "w")
-    return rows.mapInArrow(run, "bucket long, t int, code long, home boolean, rep long, w long, codes binary, vector binary")
-
-
-def _meets_first(a: np.ndarray, b: np.ndarray, t: int, code: int) -> np.ndarray:
+            for part in _by_length(batch):
+                unit, visited, _ = _coded(part)
+                all_codes = [r.tobytes() for r in visited.reshape(len(part), -1).astype("<i4" if unit.shape[1] <= 4096 else "<i8")]
+                columns = [part.column(0), part.column(3), pa.array(all_codes, pa.binary()), pa.array([r.tobytes() for r in unit.astype("<f8")], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "w", "codes", "vector"])
+
+    return classes.select("rep", "label", "embedding", "w").mapInArrow(run, "rep long, w long, codes binary, vector binary")
+
+
+def _meets_first(a: np.ndarray, b: np.ndarray, t: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Whether pairs of code rows (TABLES, 1 + HASHES) meet in bucket (t, code) before any other."""
     home_a, home_b = a[:, :, 0], b[:, :, 0]
     a_visits, b_visits = (a == home_b[:, :, None]).any(axis=2), (b == home_a[:, :, None]).any(axis=2)
     found = a_visits | b_visits
     first = found.argmax(axis=1) == t
-    big = np.iinfo(np.int64).max
-    least = np.minimum(np.where(a_visits[:, t], home_b[:, t], big), np.where(b_visits[:, t], home_a[:, t], big))
+    big, row = np.int64(np.iinfo(np.int64).max), np.arange(len(a))
+    least = np.minimum(np.where(a_visits[row, t], home_b[row, t], big), np.where(b_visits[row, t], home_a[row, t], big))
     return first & (least == code)
 
 
-def _block(table: pa.Table, cosine: float) -> pa.Table:
-    """Links within one pair of blocks: weights to add per class, and a forest of edges."""
-    t, code = table.column("t")[0].as_py(), table.column("code")[0].as_py()
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    home, block = table.column("home").to_numpy(), table.column("block").to_numpy()
-    rep, w = table.column("rep").to_numpy(), table.column("w").to_numpy()
-    unit = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<f8").reshape(len(rep), -1)
-    own = np.frombuffer(b"".join(table.column("codes").to_pylist()), "<i8").reshape(len(rep), TABLES, 1 + HASHES)
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    add = np.zeros(len(rep), np.int64)
-    edges = []
-    for lo in range(0, len(left), 256):
-        rows = left[lo : lo + 256]
-        near = (unit[rows] @ unit[right].T >= cosine) & (home[rows][:, None] | home[right][None, :]) & (rep[rows][:, None] != rep[right][None, :])
-        if i == j:
-            near &= rep[rows][:, None] < rep[right][None, :]
-        x, y = np.nonzero(near)
-        for k in range(0, len(x), 50_000):
-            a, b = rows[x[k : k + 50_000]], right[y[k : k + 50_000]]
-            once = _meets_first(own[a], own[b], t, code)
-            a, b = a[once], b[once]
-            np.add.at(add, a, w[b])
-            np.add.at(add, b, w[a])
-            if len(a):
-                edges.append(graph.forest(rep[a], rep[b]))
-    some = np.flatnonzero(add)
-    if edges:
-        root, node = graph.forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
-    else:
-        root = node = np.zeros(0, np.int64)
-    kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(root)])
-    return pa.table([pa.array(kind), pa.array(np.concatenate([rep[some], root])), pa.array(np.concatenate([add[some], node]))], names=["kind", "x", "y"])
+_SMALL = 48
+
+
+class _Rows:
+    """Columns of a run of rows, sorted by bucket and pair of blocks."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table):
+        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        self.bucket, self.i, self.j, self.block, self.t, self.code, self.rep, self.w = (column[c].to_numpy() for c in ("bucket", "i", "j", "block", "t", "code", "rep", "w"))
+        self.home = column["home"].to_numpy(zero_copy_only=False)
+        data, offs = textbuf.buffer_of(column["vector"])
+        self.size, self.data, self.offs = np.diff(offs) // 8, data, offs
+        codes_, code_offs = textbuf.buffer_of(column["codes"])
+        width = (code_offs[1] - code_offs[0]) // (TABLES * (1 + HASHES)) if len(self.rep) else 4
+        self.codes = np.ascontiguousarray(codes_).view(f"<i{width}").reshape(-1, TABLES, 1 + HASHES)
+
+    def unit(self, at: np.ndarray) -> np.ndarray:
+        """The vectors of rows of one length."""
+        d = int(self.size[at[0]])
+        return self.data[textbuf.ragged(self.offs[at], np.full(len(at), 8 * d))].view("<f8").reshape(-1, d)
+
+
+def _paired(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each group."""
+    rows = textbuf.ragged(starts, ends - starts)
+    after = np.repeat(ends, ends - starts) - rows - 1
+    return np.repeat(rows, after), textbuf.ragged(rows + 1, after)
+
+
+def _links(rows: _Rows, cosine: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Linked pairs of rows that meet here first, group by group."""
+    change = (rows.bucket[1:] != rows.bucket[:-1]) | (rows.i[1:] != rows.i[:-1]) | (rows.j[1:] != rows.j[:-1])
+    starts = np.flatnonzero(np.append(True, change))
+    ends = np.append(starts[1:], len(rows.rep))
+    left, right = [], []
+
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        near = (rows.home[a] | rows.home[b]) & (rows.rep[a] != rows.rep[b])
+        a, b = a[near], b[near]
+        first = _meets_first(rows.codes[a], rows.codes[b], rows.t[a], rows.code[a])
+        left.append(a[first])
+        right.append(b[first])
+
+    small = (ends - starts <= _SMALL) & (rows.i[starts] == rows.j[starts])
+    for d in np.unique(rows.size[starts[small]]).tolist():
+        own = np.flatnonzero(small & (rows.size[starts] == d))
+        for part in np.array_split(own, max(1, len(own) // 200)):
+            a, b = _paired(starts[part], ends[part])
+            for lo in range(0, len(a), 20_000):
+                x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
+                if len(x):
+                    near = np.einsum("nd,nd->n", rows.unit(x), rows.unit(y)) >= cosine
+                    keep(x[near], y[near])
+    for lo, hi in zip(starts[~small], ends[~small], strict=True):
+        own = np.arange(lo, hi)
+        i, j = rows.i[lo], rows.j[lo]
+        one, two = own[rows.block[own] == i], own[rows.block[own] == j]
+        if not len(one) or not len(two):
+            continue
+        other = rows.unit(two).T
+        for k in range(0, len(one), 256):
+            part = one[k : k + 256]
+            near = rows.unit(part) @ other >= cosine
+            if i == j:
+                near &= part[:, None] < two[None, :]
+            x, y = np.nonzero(near)
+            for m in range(0, len(x), 50_000):
+                keep(part[x[m : m + 50_000]], two[y[m : m + 50_000]])
+    return left, right
+
+
+def _compared(blocks: DataFrame, cosine: float) -> DataFrame:
+    """(kind, x, y): 0 with a class and the weight linked to it, 1 with an edge of a spanning forest."""
+
+    def told(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        rows = _Rows(batch)
+        left, right = _links(rows, cosine)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        add = np.zeros(len(rows.rep), np.int64)
+        np.add.at(add, a, rows.w[b])
+        np.add.at(add, b, rows.w[a])
+        some = np.flatnonzero(add)
+        root, node = graph.forest(rows.rep[a], rows.rep[b]) if len(a) else (a, b)
+        kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(root)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([rows.rep[some], root])), pa.array(np.concatenate([add[some], node]))], names=["kind", "x", "y"])
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []  # the last group so far; no larger than a pair of blocks
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(batch.schema.names.index(c)).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], axis=1)
+            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            cut = int(change[-1]) if len(change) else 0
+            if not cut:
+                head = kept[-1] if kept else None
+                if head is not None and [head.column(head.schema.names.index(c))[0].as_py() for c in ("bucket", "i", "j")] != keys[0].tolist():
+                    yield told(pa.Table.from_batches(kept).combine_chunks())
+                    kept = []
+                kept.append(batch)
+                continue
+            yield told(pa.Table.from_batches([*kept, batch.slice(0, cut)]).combine_chunks())
+            kept = [batch.slice(cut)]
+        if kept:
+            yield told(pa.Table.from_batches(kept).combine_chunks())
+
+    n = common.partitions(blocks.sparkSession)
+    return blocks.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, _FOUND)
 
 
 def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -174,11 +287,8 @@ def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     blocks = scattered.join(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("s")), "bucket")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("s")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     blocks = blocks.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("s", "o")
-
-    def compare(table):
-        return _block(table, cosine)
-
-    found = common.cut(blocks.groupBy("bucket", "i", "j").applyInArrow(compare, _FOUND))
+    # only rows that share a bucket carry their vector
+    found = common.cut(_compared(blocks.join(_vectors(classes), "rep"), cosine))
     added = found.where("kind = 0").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("added"))
     whole = graph.components(found.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")))
     per_class = classes.join(added, "rep", "left").join(whole, F.col("rep") == F.col("node"), "left")
