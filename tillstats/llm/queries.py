@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, fingerprints, html_extract, near_dedup, packing, sstable, suffix_dedup, toxicity, url_filter
+from . import bpe, embed_dedup, fingerprints, html_extract, near_dedup, oracles, packing, sstable, suffix_dedup, toxicity, url_filter
 from .common import table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,4 +56,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_byte_bpe, op2_best_fit_packing, op3_sstable_ids, op4_html_extraction, op5_fingerprints, op6_minhash_near_dedup, op7_toxicity, op8_url_filter, op9_suffix_dedup, op10_embedding_near_dedup)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op9_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op10_embedding_near_dedup": oracles.EMBEDDING_DEDUP,
+}
