@@ -68,18 +68,24 @@ def tokens(text: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Word -> (weight of the word, weight of its stem), worked out once per distinct word."""
+    """Word -> what is notable about it, worked out once per distinct word; None for most words.
+
+    Notable: (weight, weight of its stem, insult, second person, odd); odd words hold other than letters.
+    """
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: str) -> tuple[float, float]:
+    def weight(self, word: str) -> tuple[float, float]:
         stem = max((self.weights.get(f"{word[:k]}+", 0.0) for k in STEMS if len(word) >= k), default=0.0)
-        found = (self.weights.get(word, 0.0), stem)
+        return max(self.weights.get(word, 0.0), stem), stem
+
+    def __missing__(self, word: str) -> tuple | None:
+        found = (*self.weight(word), word in INSULTS, word in SECOND_PERSON, not word.isalpha())
         if len(self) > 500_000:
             self.clear()
-        self[word] = found
+        self[word] = found = found if any(found) else None
         return found
 
 
@@ -88,18 +94,35 @@ def plain(word: str) -> str:
     return _LONG.sub(r"\1", re.sub(r"[^\w]|_", "", word.translate(LOOKALIKES)))
 
 
+def _class(characters: str | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) if isinstance(c, str) else c for c in characters]] = True
+    return out
+
+
+_UPPER, _DIGIT, _MARKS, _LETTER = _class(range(65, 91)), _class(range(48, 58)), _class("!?.,;:#*$%&-\"'()"), _class([*range(65, 91), *range(97, 123)])
+
+
+def _runs(flags: np.ndarray, least: int = 3) -> int:
+    """Runs of at least ``least`` true flags."""
+    if len(flags) < least:
+        return 0
+    full = flags[: len(flags) - 2] & flags[1 : len(flags) - 1] & flags[2:]
+    return int(full[0]) + int((full[1:] & ~full[:-1]).sum())
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """One row of FEATURES."""
     text = text or ""
     words = tokens(text)
     n, size = max(1, len(words)), max(1, len(text))
-    found = [lexicon[w] for w in words]
-    weights = [max(a, b) for a, b in found]
-    strong = [i for i, x in enumerate(weights) if x >= 2]
-    insults = [i for i, w in enumerate(words) if w in INSULTS]
-    odd = [w for w in words if not w.isalpha()]
-    hidden = [p for p in (plain(w) for w in odd) if p in INSULTS or max(lexicon[p]) >= 2]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    found = [(i, x) for i, x in enumerate(map(lexicon.__getitem__, words)) if x]
+    weights = [x[0] for _, x in found]
+    strong = [i for i, x in found if x[0] >= 2]
+    insults = [i for i, x in found if x[2]]
+    odd = [words[i] for i, x in found if x[4]]
+    hidden = [p for p in map(plain, odd) if p in INSULTS or lexicon.weight(p)[0] >= 2]
+    you = [i for i, x in found if x[3]]
     hits = sorted({*strong, *insults})
     gaps: list[int] = []
     if you and hits:
@@ -108,13 +131,15 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         right = np.where(at < len(you), np.array(you)[np.minimum(at, len(you) - 1)] - np.array(hits), 99)
         gaps = np.minimum(left, right).tolist()
     top = sorted((x for x in weights if x > 0), reverse=True)[:3]
-    upper = sum(map(str.isupper, text))
-    marks = sum(text.count(c) for c in "!?.,;:#*$%&-\"'()")
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    seen = np.bincount(raw, minlength=256)
+    same = (raw[1:] == raw[:-1]) & _LETTER[raw[1:]]
+    stretched = int((same[1:] & same[:-1]).sum())  # letters that continue a third time
     return [
         math.log1p(len(words)), top[0] if top else 0.0, sum(top), sum(weights) / n, math.log1p(len(strong)), len(strong) / n, math.log1p(len(insults)), len(insults) / n,
-        math.log1p(sum(b >= 2 for _, b in found)), len(you) / n, sum(g <= NEAR for g in gaps), min([20, *gaps]),
-        upper / size, sum(len(w) > 2 and w.isupper() for w in text.split()) / n if upper > 2 else 0.0, text.count("!") / size, text.count("?") / size, marks / size,
-        len(_INNER.findall(text)) / n, math.log1p(len(hidden)), len(_LONG.findall(text)) / n, sum(map(str.isdigit, text)) / size, max((b for _, b in found), default=0.0),
+        math.log1p(sum(x[1] >= 2 for _, x in found)), len(you) / n, sum(g <= NEAR for g in gaps), min([20, *gaps]),
+        int(seen[_UPPER].sum()) / size, _runs(_UPPER[raw]) / n, int(seen[33]) / size, int(seen[63]) / size, int(seen[_MARKS].sum()) / size,
+        sum(_INNER.search(w) is not None for w in odd) / n, math.log1p(len(hidden)), stretched / n, int(seen[_DIGIT].sum()) / size, max((x[1] for _, x in found), default=0.0),
     ]
 
 
