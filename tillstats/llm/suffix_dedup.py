@@ -180,14 +180,27 @@ class Chunk:
         start, doc, count, minimizer, hashed = (c[alive] for c in (w.start, w.doc, w.count, w.gram, w.hash))
         size, part, digit = count + self.length - 1, part[alive], digit[alive]
         # equal strings of the chunk are one: same bytes, same gram
-        raw = self.data.tobytes()
-        seen: dict[tuple, int] = {}
-        number = np.zeros(len(start), np.int64)
-        for i, (h, s, n, m) in enumerate(zip(hashed.tolist(), start.tolist(), size.tolist(), minimizer.tolist(), strict=True)):
-            number[i] = seen.setdefault((h, m, raw[s : s + n]), len(seen))
-        _, once = np.unique(number, return_index=True)  # documents ascend, so the first has the smallest id
+        # equal hashes first, then the bytes themselves; documents ascend, so the first has the smallest id
+        _, once, number = np.unique(hashed, return_index=True, return_inverse=True)
+        if not self._same(start, size, minimizer, once[number]):
+            _, once, number = np.unique(self._exact(start, size, minimizer), return_index=True, return_inverse=True)
         return {"part": part, "digit": digit, "start": start, "doc": doc, "size": size, "count": count, "minimizer": minimizer, "number": number, "once": once}
 
+    def _same(self, start: np.ndarray, size: np.ndarray, minimizer: np.ndarray, other: np.ndarray) -> bool:
+        """Whether each string equals the string ``other`` names."""
+        if not (np.array_equal(size, size[other]) and np.array_equal(minimizer, minimizer[other])):
+            return False
+        for lo in range(0, len(start), 20_000):
+            own = slice(lo, lo + 20_000)
+            if not np.array_equal(self.data[textbuf.ragged(start[own], size[own])], self.data[textbuf.ragged(start[other[own]], size[own])]):
+                return False
+        return True
+
+    def _exact(self, start: np.ndarray, size: np.ndarray, minimizer: np.ndarray) -> np.ndarray:
+        """Numbers of equal strings by their bytes, where hashes have collided."""
+        raw, seen = self.data.tobytes(), {}
+        return np.array([seen.setdefault((m, raw[s : s + n]), len(seen)) for s, n, m in zip(start.tolist(), size.tolist(), minimizer.tolist(), strict=True)])
+
     def sent(self, parts: int, live: dict[int, np.ndarray]) -> Iterator[tuple[int, bytes]]:
         """(partition, body): the distinct strings with their digit, gram place and smallest document."""
         s = self.strings(parts, live)
