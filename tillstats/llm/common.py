@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of one id up to which a table of ids is broadcast, about 32 MB; larger ones are joined by exchange.
+MOST_BROADCAST = 1_000_000
+
+
+def lookup(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast only after its rows have been counted."""
+    written = cut(ids)
+    return F.broadcast(written) if written.count() <= MOST_BROADCAST else written
+
+
 def gathered(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a table of bounded size on the driver, by way of Arrow."""
     table = df.toArrow()

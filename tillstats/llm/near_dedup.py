@@ -128,8 +128,7 @@ def _shingles_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
-    # grouped where the join has put them: no further exchange
-    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(common.lookup(ids), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
     return wanted.mapInArrow(run, "rep long, hashes binary")
 
 
@@ -274,5 +273,5 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one id of each group of near-duplicates, with all their columns."""
     names = docs.columns
-    away = link(docs, words).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    away = common.lookup(link(docs, words).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(away, docs["doc_id"] == F.col("__gone"), "left_anti").select(*names)
