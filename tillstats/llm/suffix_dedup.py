@@ -220,7 +220,7 @@ class Chunk:
                 smaller[s["number"][own][np.frombuffer(at, "<u4")]] = np.frombuffer(bits, "<u8")
         head = self.ids[s["doc"][s["once"]]][s["number"]]
         repeated = self.ids[s["doc"]] > head
-        step = np.zeros(len(self.data) + 1, np.int32)
+        step = np.zeros(len(self.data) + 1, np.int8)  # windows start but once at a place, and 50 or so overlap at most
         for lo in range(0, len(s["start"]), 20_000):
             own = slice(lo, lo + 20_000)
             count = s["count"][own]
@@ -228,9 +228,9 @@ class Chunk:
             window = textbuf.ragged(np.zeros(len(count), np.int64), count)
             hit = (smaller[s["number"][own]][rows] >> window.astype(np.uint64) & np.uint64(1)).astype(bool) | repeated[own][rows]
             starts = s["start"][own][rows[hit]] + window[hit]
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + self.length, -1)
-        return np.cumsum(step[:-1], out=step[:-1]) > 0
+            step[starts] += 1
+            step[starts + self.length] -= 1
+        return np.cumsum(step[:-1], dtype=np.int8, out=step[:-1]) > 0
 
 
 def _by_part(s: dict, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -409,19 +409,26 @@ def spans(docs: DataFrame, make, schema, length: int = 50, keep: tuple[str, ...]
 
 def _runs(chunk: Chunk, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Removed bytes and maximal removed runs of each document."""
-    upto = np.append(0, np.cumsum(covered))
-    opens = covered.copy()
-    opens[1:] &= ~covered[:-1]
-    at = chunk.offs[:-1][np.diff(chunk.offs) > 0]
-    opens[at] = covered[at]
-    runs = np.append(0, np.cumsum(opens))
-    return np.diff(upto[chunk.offs]), np.diff(runs[chunk.offs])
-
-
-def _kept(chunk: Chunk, covered: np.ndarray) -> list[bytes]:
-    raw = chunk.data[~covered].tobytes()
-    upto = np.append(0, np.cumsum(~covered))[chunk.offs].tolist()
-    return [raw[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    removed, runs = np.zeros((2, len(chunk.offs) - 1), np.int64)
+    for lo, hi in textbuf.slices(chunk.offs):
+        offs = chunk.offs[lo : hi + 1] - chunk.offs[lo]
+        own = covered[chunk.offs[lo] : chunk.offs[hi]]
+        opens = own.copy()
+        opens[1:] &= ~own[:-1]
+        heads = offs[:-1][np.diff(offs) > 0]
+        opens[heads] = own[heads]
+        removed[lo:hi] = np.diff(np.append(0, np.cumsum(own))[offs])
+        runs[lo:hi] = np.diff(np.append(0, np.cumsum(opens))[offs])
+    return removed, runs
+
+
+def _kept(chunk: Chunk, covered: np.ndarray) -> Iterator[bytes]:
+    """What is left of each document."""
+    for lo, hi in textbuf.slices(chunk.offs):
+        left = ~covered[chunk.offs[lo] : chunk.offs[hi]]
+        raw = chunk.data[chunk.offs[lo] : chunk.offs[hi]][left].tobytes()
+        upto = np.append(0, np.cumsum(left))[chunk.offs[lo : hi + 1] - chunk.offs[lo]].tolist()
+        yield from (raw[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True))
 
 
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
