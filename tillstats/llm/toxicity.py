@@ -34,6 +34,8 @@ MOST_LABELLED = 40_000
 #: Entries of the learned lexicon at most, the surest first.
 MOST_TERMS = 4_096
 THRESHOLD = 0.3
+#: Terms that a task counts before it hands its sums on.
+MOST_COUNTED = 200_000
 #: The quarters that may be learned from: remainders 0, 1 and 3.
 PARTS = 3
 STEMS = (4, 5, 6)
@@ -83,7 +85,7 @@ class Lexicon(dict):
 
     def __missing__(self, word: str) -> tuple | None:
         found = (*self.weight(word), word in INSULTS, word in SECOND_PERSON, not word.isalpha())
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = found if any(found) else None
         return found
@@ -151,7 +153,15 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
     names = [f"{kind}{k}" for kind in "nt" for k in range(PARTS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in names]
+        counts: list[Counter[str]] = [Counter() for _ in names]
+
+        def told() -> pa.RecordBatch:
+            terms = list(set().union(*counts))
+            out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", *names])
+            for c in counts:
+                c.clear()
+            return out
+
         for batch in batches:
             for text, label, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = set(tokens(text or ""))
@@ -160,8 +170,9 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
                 counts[part].update(words)
                 if label:
                     counts[PARTS + part].update(words)
-        terms = list(set().union(*counts))
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", *names])
+                if sum(map(len, counts)) > MOST_COUNTED:
+                    yield told()
+        yield told()
 
     schema = "term string, " + ", ".join(f"{n} long" for n in names)
     counted = common.cut(rows.select("text", "toxic", "part").mapInArrow(count, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)))
