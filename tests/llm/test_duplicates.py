@@ -112,7 +112,9 @@ def test_estimate_is_close(texts):
     assert np.abs(found - true).max() < 0.2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_AT_ONCE", most)
     r = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(1, 50)]
     nodes = {n for e in edges for n in e}

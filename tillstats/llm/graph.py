@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import common
 
 EDGES = "a long, b long"
+#: Edges (16 bytes each) up to which one task finishes what the contraction has left; more take the star operations.
+MOST_AT_ONCE = 1_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +55,14 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, EDGES)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of a bounded number of edges."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+    root, node = forest(a, b) if len(a) else (a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component"])
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation over edges (a, b), grouped by ``a``, in one exchange; memory doesn't depend on a node's degree.
 
@@ -85,6 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) that isn't the smallest of its component."""
     now = common.cut(contracted(edges.where("a <> b")))  # a < b from here on
     state = _state(now)
+    if state[0] <= MOST_AT_ONCE:
+        return now.repartition(1).mapInArrow(_whole, "node long, component long")
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(both, large=True)
