@@ -35,7 +35,7 @@ MOST_LABELLED = 40_000
 MOST_TERMS = 4_096
 THRESHOLD = 0.3
 #: Terms that a task counts before it hands its sums on.
-MOST_COUNTED = 200_000
+MOST_COUNTED = 100_000
 #: The quarters that may be learned from: remainders 0, 1 and 3.
 PARTS = 3
 STEMS = (4, 5, 6)
@@ -85,7 +85,7 @@ class Lexicon(dict):
 
     def __missing__(self, word: str) -> tuple | None:
         found = (*self.weight(word), word in INSULTS, word in SECOND_PERSON, not word.isalpha())
-        if len(self) > 150_000:
+        if len(self) > 80_000:
             self.clear()
         self[word] = found = found if any(found) else None
         return found
