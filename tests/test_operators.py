@@ -156,6 +156,20 @@ def test_normality(spark):
     assert found["method"] == "kolmogorov-smirnov" and found["n_used"] == 500 and found["p_value"] > 0.01
 
 
+def test_sample_is_of_rows(spark):
+    """Values with more copies than the sample are all drawn, about as often as they occur, however rows are dealt."""
+    df = spark.range(40_000).selectExpr("CASE WHEN id % 8 < 4 THEN 7D WHEN id % 8 < 7 THEN 3D ELSE 5D END AS v")
+    drawn = inference.sample(df, df["v"], 1_000, 42)
+    share = {v: drawn.count(v) / 1_000 for v in (7.0, 3.0, 5.0)}
+    assert len(drawn) == 1_000 and share == pytest.approx({7.0: 0.5, 3.0: 0.375, 5.0: 0.125}, abs=0.06)
+    assert sorted(inference.sample(df.repartition(7), df["v"], 1_000, 42)) == sorted(drawn)
+    distinct = spark.range(9_000).selectExpr("CAST(id AS DOUBLE) AS v")
+    spread = inference.sample(distinct, distinct["v"], 3_000, 1)
+    assert len(set(spread)) == 3_000 and np.mean(spread) == pytest.approx(4_500, rel=0.05)
+    found = inference.normality(df, "v", most=1_000)
+    assert found["statistic"] is not None and found["p_value"] < 0.01
+
+
 # tests
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract
 from ..functions import dist
 from .quantiles import clean
-from .ranks import midranks, range_bounds
+from .ranks import cumulative, midranks, range_bounds
 
 RECORD = "test string, method string, statistic double, p_value double, alpha double, reject_h0 boolean, interpretation string"
 #: Values up to which the exact distribution of the rank test is used, without ties.
@@ -137,14 +140,26 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: Any, b: Any, alternat
 
 
 def sample(df: DataFrame, value: Column, rows: int, seed: int) -> list[float]:
-    """At most ``rows`` non-null values, the same ones at every run and partitioning: the least by hash."""
-    values = df.select(value.alias("v")).where("v is not null")
+    """At most ``rows`` non-null values, the same ones at every run and partitioning: rows drawn without replacement.
+
+    Places in the order of all values are drawn on the driver; each distinct value is taken as often as
+    its rows hold one, so copies are never expanded and every row has the same chance.
+    """
+    values = df.select(value.cast("double").alias("v")).where("v is not null")
     if values.limit(rows + 1).count() <= rows:
         return [r[0] for r in values.collect()]
-    # equal values tie by a count within their hash, so the sample depends on the rows alone
-    picked = values.withColumn("h", F.xxhash64(F.col("v"), F.lit(seed))).groupBy("h", "v").agg(F.count("*").alias("n")).orderBy("h", "v").limit(rows).collect()
-    out = [r["v"] for r in picked for _ in range(r["n"])]
-    return out[:rows]
+    places = np.sort(np.random.default_rng(seed).choice(values.count(), rows, replace=False, shuffle=False))
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, before = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            times = np.searchsorted(places, before + n) - np.searchsorted(places, before)
+            at = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(times[at])], names=["v", "times"])
+
+    ranked = cumulative(values.groupBy("v").agg(F.count("*").alias("n")), "v", "n", range_bounds(values, {"v": F.col("v")})["v"])
+    picked = ranked.select("v", "n", "n_before").mapInArrow(taken, "v double, times long").orderBy("v").collect()  # at most ``rows``
+    return [r["v"] for r in picked for _ in range(r["times"])]
 
 
 def normality(df: DataFrame, column: str, seed: int = 42, most: int = 5_000) -> dict[str, Any]:
