@@ -324,6 +324,28 @@ def test_clusters(spark):
     points.unpersist()
 
 
+@pytest.mark.parametrize("name", ["kmeans_elbow", "cluster_profile"])
+def test_registered_clusters_try_every_k_and_start(spark, monkeypatch, name):
+    from tillstats.plans import queries
+
+    fit, calls = segments.best_kmeans, []
+
+    def noted(points, k, seed=42, n_init=10):
+        calls.append((k, n_init))
+        return fit(points, k, seed, 1)
+
+    rows = [(f"C{i}", float(v), int(u)) for i, (v, u) in enumerate(zip(rng.normal(100, 30, 120), rng.integers(1, 50, 120), strict=True))]
+    df = frame(spark, "CODIGO_CLIENTE string, MONTO_APLICADO double, UNIDADES long", rows)
+    monkeypatch.setattr(segments, "best_kmeans", noted)
+    monkeypatch.setattr(queries, "sales", lambda *_: df)
+    found = queries.QUERIES[name](spark, "").collect()
+    assert calls[:6] == [(k, 10) for k in range(2, 8)]
+    if name == "kmeans_elbow":
+        assert [r["k"] for r in found] == list(range(2, 8))
+    else:
+        assert len(calls) == 7 and calls[6] == (len(found), 10) and sum(r["n_clientes"] for r in found) == 120
+
+
 def test_silhouette_against_brute_force():
     x, labels = rng.normal(size=(40, 2)), rng.integers(0, 3, 40)
     labels[0] = 7  # a cluster of one

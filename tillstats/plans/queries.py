@@ -262,15 +262,14 @@ def _points(spark, sf_dir):
 def kmeans_elbow(spark, sf_dir):
     points = _points(spark, sf_dir).persist()
     try:
-        return segments.elbow_and_silhouette(points, (2, 3, 4), n_init=1)
+        return segments.elbow_and_silhouette(points, range(2, 8))
     finally:
         points.unpersist()
 
 
 @query
 def cluster_profile(spark, sf_dir):
-    points = _points(spark, sf_dir).persist()
-    return segments.cluster_profile(segments.best_kmeans(points, 3, n_init=1).transform(points), segments.FEATURES)
+    return segments.segment(sales(spark, sf_dir)).profile
 
 
 @query
