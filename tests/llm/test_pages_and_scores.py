@@ -1,3 +1,5 @@
+import collections
+import math
 import zlib
 
 import numpy as np
@@ -80,6 +82,38 @@ def test_language_models_tell_apart(spark):
     assert len(free) == 300 and np.mean(free) > 0.95
 
 
+def test_scores_rest_on_exact_counts(spark):
+    """However many n-grams there are, none shares a count: scores are those of dictionaries."""
+    r = np.random.default_rng(2)
+    rows = [("".join(r.choice(list("0123456789abcdefghijklmnopqrstuv"), 24)), "block" if i % 2 else "allow") for i in range(800)]
+    df = spark.createDataFrame(rows, "text string, verdict string")
+    counts = {"allow": collections.Counter(), "block": collections.Counter()}
+
+    def contexts(text, at):
+        padded = ["start"] * url_filter.ORDER + [*text, "end"]
+        place = at + url_filter.ORDER
+        return [(tuple(padded[place - k : place]), padded[place]) for k in range(url_filter.ORDER + 1)]
+
+    for text, verdict in rows:
+        for at in range(len(text) + 1):
+            for before, symbol in contexts(text, at):
+                counts[verdict].update([before, (before, symbol, "next")])
+
+    def likelihood(text, seen):
+        total = 0.0
+        for at in range(len(text) + 1):
+            p = 1 / 257
+            for before, symbol in contexts(text, at):
+                p = (seen[before, symbol, "next"] + url_filter.STRENGTH * p) / (seen[before] + url_filter.STRENGTH)
+            total += math.log(p)
+        return total
+
+    scored = url_filter._scored(df.limit(60), url_filter.train(df)).collect()
+    for x in scored:
+        expected = (likelihood(x["text"], counts["block"]) - likelihood(x["text"], counts["allow"])) / len(x["text"])
+        assert x["score"] == pytest.approx(expected, abs=1e-9)
+
+
 def test_isotonic():
     fitted = url_filter.isotonic(np.arange(6), np.array([0.0, 1.0, 0.0, 1.0, 1.0, 0.5]), np.ones(6))
     assert (np.diff(fitted) >= 0).all() and fitted.sum() == pytest.approx(3.5)

@@ -2,9 +2,9 @@
 
 Two variable-order Markov models over bytes, one for URLs that a rule allows and one for those a rule
 blocks, are interpolated from order ``ORDER`` down to uniform: the estimate of each order
-counts as ``STRENGTH`` observations of the next. Counts cover all ruled URLs outside the calibration fold and
-live in hashed tables of fixed size, so the model that is broadcast has one size at any input. The score is the
-difference of log-likelihoods per byte. The ruled URLs of the calibration fold, in a histogram of
+counts as ``STRENGTH`` observations of the next. Counts cover all ruled URLs outside the calibration fold, one
+row for each distinct n-gram of either class, known by 64 bits: the table grows with the n-grams that occur, and no two
+share a count at any size of input. It is gathered and broadcast, 24 bytes an n-gram. The score is the difference of log-likelihoods per byte. The ruled URLs of the calibration fold, in a histogram of
 fixed bins, turn it into the probability of a block by isotonic regression with both classes weighed alike; from one half
 up the verdict is block.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common, textbuf
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-ORDER, STRENGTH, SLOTS, BINS, FOLDS = 4, 2.0, 1 << 18, 512, 5
+ORDER, STRENGTH, BINS, FOLDS = 4, 2.0, 512, 5
 #: Scores beyond this many nats a byte fall into the outermost bins.
 SPAN = 4.0
 _UNIFORM = 1 / 257
@@ -51,7 +51,7 @@ def ruled(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def _grams(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Offsets (each text and one end mark), slots of contexts and of contexts with their next symbol by order, and text lengths."""
+    """Offsets (each text and one end mark), keys of contexts and of contexts with their next symbol by order, and text lengths."""
     data, offs = textbuf.buffer_of(column)
     n = len(offs) - 1
     size = np.diff(offs)
@@ -61,62 +61,72 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
     first = np.repeat(offs[:-1] + np.arange(n), size + 1)
     place = np.arange(len(symbols)) - first
     contexts, nexts, hashed = [], [], np.zeros(len(symbols), np.uint64)
-    mask = np.uint64(SLOTS - 1)
     for k in range(ORDER + 1):
         if k:
             before = np.where(place >= k, symbols[np.maximum(np.arange(len(symbols)) - k, 0)], np.uint64(257))
             hashed = textbuf.mix(hashed + before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
-        contexts.append((hashed & mask).astype(np.int64))
-        nexts.append((textbuf.mix(hashed + (symbols + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) & mask).astype(np.int64))
+        contexts.append(hashed.view(np.int64))
+        nexts.append(textbuf.mix(hashed + (symbols + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
     return np.append(first[ends - size] if n else np.zeros(0, np.int64), len(symbols)), contexts, nexts, size
 
 
-class Model:
-    """Counts of one class: ``table[0]`` of contexts, ``table[1]`` of contexts with their next symbol."""
+class Models:
+    """Counts of both classes by n-gram: sorted ``keys`` and ``counts`` of allowed and blocked texts, a column each."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table.astype(np.float32)
+    def __init__(self, keys: np.ndarray, allowed: np.ndarray, blocked: np.ndarray):
+        order = np.argsort(keys)
+        # the last row is for n-grams that never occurred
+        self.keys = keys[order]
+        self.counts = np.append(np.stack([allowed, blocked], axis=1)[order], [[0, 0]], axis=0).astype(float)
 
-    def log_likelihood(self, contexts: list[np.ndarray], nexts: list[np.ndarray]) -> np.ndarray:
-        p = np.full(len(contexts[0]), _UNIFORM)
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        distinct, each = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == distinct[known]
+        return self.counts[np.where(known, at, len(self.keys))[each]]
+
+    def log_likelihoods(self, contexts: list[np.ndarray], nexts: list[np.ndarray]) -> np.ndarray:
+        """For each symbol those of the allowed and of the blocked class."""
+        p = np.full((len(contexts[0]), 2), _UNIFORM)
         for c, x in zip(contexts, nexts, strict=True):
-            p = (np.minimum(self.table[1][x], self.table[0][c]) + STRENGTH * p) / (self.table[0][c] + STRENGTH)
+            p = (self.of(x) + STRENGTH * p) / (self.of(c) + STRENGTH)
         return np.log(p)
 
 
-def _scores(column: pa.Array, accepted: Model, rejected: Model) -> np.ndarray:
+def _scores(column: pa.Array, models: Models) -> np.ndarray:
     """Log-likelihood difference per byte, rejected less accepted; 0 for an empty text."""
     bounds, contexts, nexts, size = _grams(column)
     if not len(size):
         return np.zeros(0)
-    sums = np.add.reduceat(rejected.log_likelihood(contexts, nexts) - accepted.log_likelihood(contexts, nexts), bounds[:-1])
+    accepted, rejected = models.log_likelihoods(contexts, nexts).T
+    sums = np.add.reduceat(rejected - accepted, bounds[:-1])
     return np.where(size > 0, sums / np.maximum(size, 1), 0.0)
 
 
-def train(rows: DataFrame) -> tuple[Model, Model] | None:
-    """Models of allowed and blocked texts from rows (text, verdict); None unless both occur."""
+def grams(rows: DataFrame) -> DataFrame:
+    """(key, allowed, blocked): how often each distinct context, alone and with its next symbol, occurs in rows (text, verdict)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, SLOTS), np.int64)
         for batch in batches:
-            blocked = np.array(batch.column(1).to_pylist(), object) == "block"
+            verdicts = np.array(batch.column(1).to_pylist(), object) == "block"
             for lo in range(0, len(batch), 20_000):
-                bounds, contexts, nexts, size = _grams(batch.column(0).slice(lo, 20_000))
-                kind = np.repeat(blocked[lo : lo + 20_000], size + 1)
-                for which, slots in ((0, contexts), (1, nexts)):
-                    for s in slots:
-                        total[0, which] += np.bincount(s[~kind], minlength=SLOTS)
-                        total[1, which] += np.bincount(s[kind], minlength=SLOTS)
-        flat = total.reshape(-1)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["slot", "n"])
-
-    # at most 4 * SLOTS rows, whatever the number of URLs
-    found = common.gathered(rows.select("text", "verdict").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
-    table = np.zeros(4 * SLOTS, np.int64)
-    table[found["slot"]] = found["n"]
-    table = table.reshape(2, 2, SLOTS)
-    return (Model(table[0]), Model(table[1])) if table[0].any() and table[1].any() else None
+                _, contexts, nexts, size = _grams(batch.column(0).slice(lo, 20_000))
+                kind = np.repeat(verdicts[lo : lo + 20_000], size + 1)
+                for found in (*contexts, *nexts):
+                    keys, each = np.unique(found, return_inverse=True)
+                    blocked = np.bincount(each[kind], minlength=len(keys))
+                    allowed = np.bincount(each[~kind], minlength=len(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(allowed), pa.array(blocked)], names=["key", "allowed", "blocked"])
+
+    found = rows.select("text", "verdict").mapInArrow(count, "key long, allowed long, blocked long")
+    return found.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+
+
+def train(rows: DataFrame) -> Models | None:
+    """Models of allowed and blocked texts from rows (text, verdict); None unless both occur."""
+    found = common.gathered(grams(rows))  # a row for each distinct n-gram, far fewer than URLs have bytes
+    return Models(found["key"], found["allowed"], found["blocked"]) if found["allowed"].any() and found["blocked"].any() else None
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -135,21 +145,20 @@ def _bin(score: Column) -> Column:
     return F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((score + SPAN) * (BINS / (2 * SPAN))))).cast("int")
 
 
-def _scored(rows: DataFrame, models: tuple[Model, Model]) -> DataFrame:
+def _scored(rows: DataFrame, models: Models) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accepted, rejected = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 20_000):
                 part = batch.slice(lo, 20_000)
-                found = _scores(part.column(part.schema.names.index("text")), accepted, rejected)
+                found = _scores(part.column(part.schema.names.index("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, "score"])
 
     return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
 
 
-def calibrate(rows: DataFrame, models: tuple[Model, Model]) -> np.ndarray:
+def calibrate(rows: DataFrame, models: Models) -> np.ndarray:
     """Probability of a block by score bin, from rows (text, verdict) that the models haven't seen."""
     found = _scored(rows, models).groupBy("verdict", _bin(F.col("score")).alias("bin")).agg(F.count("*").alias("n")).collect()  # 2 * BINS rows at most
     counts = np.zeros((2, BINS))
