@@ -82,6 +82,21 @@ def test_language_models_tell_apart(spark):
     assert len(free) == 300 and np.mean(free) > 0.95
 
 
+def test_whole_url_is_scored(spark):
+    """Query, fragment and URLs without a scheme count; host and path are the same here or empty."""
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        bad = i % 2
+        word = "".join(r.choice(list("xqz0" if bad else "aeilmn"), 8))
+        host = ("spam.net" if bad else "good.example.net") if i % 3 else "other.info"
+        rows.append((i, f"http://{host}/en/page{'?#'[i % 4 // 2]}{word}" if i % 3 or i % 5 else f"{word}{word}", bad))
+    found = {x["page_id"]: x for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int")).collect()}
+    free = [(i, (found[i]["verdict"] == "block") == bool(bad)) for i, _, bad in rows if found[i]["rule"] is None]
+    bare = [right for i, right in free if i % 15 == 0]
+    assert len(free) == 300 and len(bare) == 60 and np.mean([x for _, x in free]) > 0.95 and np.mean(bare) > 0.95
+
+
 def test_scores_rest_on_exact_counts(spark):
     """However many n-grams there are, none shares a count: scores are those of dictionaries."""
     r = np.random.default_rng(2)

@@ -11,8 +11,10 @@ up the verdict is block.
 Rules are (host, path, verdict). A rule fits its host and all subdomains if the path starts with the
 rule's; of several that fit the longest (host and path) wins, ties by order in the list.
 
-Defined results: a null URL or one without ``://`` has empty host and path, no rule and score 0; without ruled URLs of both
-classes every URL that no rule fits is allowed. Repeated URLs are judged alike and count each time.
+The models learn from and score the whole URL as it is written, with scheme, query and fragment.
+
+Defined results: a URL without ``://`` has empty host and path and no rule, but a score; a null or empty one has score 0
+and is allowed; without ruled URLs of both classes every URL that no rule fits is allowed. Repeated URLs are judged alike and count each time.
 """
 
 from __future__ import annotations
@@ -175,9 +177,10 @@ def calibrate(rows: DataFrame, models: Models) -> np.ndarray:
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and probability of a block for each page's url."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    text = F.coalesce(F.col("url"), F.lit("")).alias("text")
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), text)
     rule, verdict = ruled(rules)
-    rows = rows.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("text", F.concat("host", "path"))
+    rows = rows.withColumn("rule", rule).withColumn("verdict", verdict)
     known = rows.where("verdict is not null")
     fold = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(FOLDS))
     models = train(known.where(fold != 0))
