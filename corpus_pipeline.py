@@ -38,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids (operator 2)."""
-    return packing.pack(docs, public_tokenizers.path(WORD_FILE))
+    return packing.pack(docs, public_tokenizers.path(WORD_FILE), packing.SEQUENCE)
 
 
 STAGES = [

@@ -122,6 +122,30 @@ def test_plan_keeps_every_capacity(histogram, score, documents, attention):
         assert len(bins) <= len(rooms) * 1.1 + 1
 
 
+def test_every_capacity_acts_where_packing_is_run(spark, docs, monkeypatch):
+    import corpus_pipeline
+    from tillstats.llm import queries
+
+    plan, used = packing.plan, []
+
+    def noted(lengths, counts, capacities, score):
+        used.append(capacities)
+        return plan(lengths, counts, capacities, score)
+
+    monkeypatch.setattr(packing, "plan", noted)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert queries.op2_best_fit_packing(spark, "").count() == corpus_pipeline.pack(spark, docs, "").count()
+    assert len(used) == 2 and all((c.tokens, c.documents, c.attention) == (2048, 2048, 2048**2) for c in used)
+
+
+def test_further_capacities_choose_bins_but_cost_none():
+    r = np.random.default_rng(6)
+    lengths, counts = np.arange(1, 2049), r.integers(1, 40, 2048)
+    plans = [packing.plan(lengths, counts, c) for c in (packing.Capacities(), packing.SEQUENCE)]
+    one, all_ = (p["sequence"] + p["pieces"] for p in plans)
+    assert one.max() == all_.max() and any(not np.array_equal(plans[0][k], plans[1][k]) for k in plans[0])
+
+
 def test_plan_rejects_what_fits_nowhere():
     with pytest.raises(ValueError):
         packing.plan(np.array([65]), np.array([1]), packing.Capacities(64))

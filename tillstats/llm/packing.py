@@ -40,6 +40,10 @@ class Capacities:
     attention: int | None = None
 
 
+#: A training sequence. Neither further capacity can refuse what 2048 tokens admit, but both weigh in the choice of a bin.
+SEQUENCE = Capacities(tokens=2048, documents=2048, attention=2048**2)
+
+
 def plan(lengths: np.ndarray, counts: np.ndarray, capacities: Capacities = Capacities(), score: str = "norm") -> dict[str, np.ndarray]:
     """Packs ``counts[i]`` pieces of ``lengths[i]``; one row per event: length, rank (of the first piece), pieces, sequence, offset.
 

@@ -19,7 +19,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), packing.SEQUENCE)
 
 
 def op3_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
