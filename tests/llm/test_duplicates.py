@@ -104,6 +104,20 @@ def test_odd_ids_link_nothing(spark):
     assert len(rows) == 6 and all(r["kept"] for r in rows)
 
 
+def test_every_text_of_a_repeated_id_links(spark):
+    """Id 1 has three texts; whichever is the least, each finds its near copy, and they are one document."""
+    r = np.random.default_rng(9)
+    texts = [[f"{first}{k}" for k in r.integers(0, 10**6, 60)] for first in "amz"]
+    near = [" ".join([*t[:-1], "other"]) for t in texts]
+    rows = [(1, " ".join(t)) for t in texts] + [(10 + k, t) for k, t in enumerate(near)] + [(5, "quite another text of seven words"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(x["doc_id"], x["component_id"], x["kept"]) for x in near_dedup.link(df).collect()]
+    assert sorted(found) == sorted([(1, 1, True)] * 4 + [(10 + k, 1, False) for k in range(3)] + [(5, 5, True)])
+    # the same where the repeated id isn't the smallest
+    turned = df.selectExpr("100 - doc_id AS doc_id", "text").where("text is not null")
+    assert {x["doc_id"]: x["component_id"] for x in near_dedup.link(turned).collect()} == {99: 88, 90: 88, 89: 88, 88: 88, 95: 95}
+
+
 def test_estimate_is_close(texts):
     hashes, bounds = textbuf.shingle_sets(*textbuf.buffer_of(pa.array(texts[40:56])))
     z, m = near_dedup.sketches(hashes, bounds)

@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash sketches, banding and full-set verification.
 
 1. Each document becomes the set of its distinct word shingles; equal sets form one class, known by a
-   128-bit digest, and only the class's smallest doc_id goes on.
+   128-bit digest; its first 64 bits (``rep``) name it in all that follows, and one text stands for it.
 2. A HyperMinHash sketch keeps for each of 128 buckets the leading-zero count and
    16 mantissa bits of the bucket's least hash. Bands of 4 compressed registers are hashed; bands without
    any register are left out, since they say nothing. At a likeness of 0.75 a pair
@@ -40,7 +40,7 @@ PERCENT = 75
 COUNT_SLOTS = 1 << 18
 #: Chance that two different hashes give one register: equal zeros (1/3) and equal mantissa.
 _COLLISION = 2.0**-MANTISSA / 3
-SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
+SIGNATURES = "doc_id long, row long, n_shingles long, k1 long, k2 long, sketch binary"
 
 
 def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _any_register(z: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit key of the shingle set and its sketch."""
+    """doc_id, a hash of the text (row), n_shingles, the 128-bit key of the shingle set and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +110,14 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
                 hashes, bounds = textbuf.shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
                 keys = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(pack(*sketches(hashes, bounds)), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "k1", "k2", "sketch"])
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(pack(*sketches(hashes, bounds)), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, SIGNATURES)
 
 
-def _shingles_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, hashes): the full sets of the documents in ``ids`` (rep), one row an id."""
+def _shingles_of(docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """(rep, hashes): the full sets of the texts in ``heads`` (rep, doc_id, row), one row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +128,8 @@ def _shingles_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "hashes"])
 
-    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(common.lookup(ids), "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(common.lookup(heads), ["doc_id", "row"])
+    wanted = rows.groupBy("rep").agg(F.min("text").alias("text"))
     return wanted.mapInArrow(run, "rep long, hashes binary")
 
 
@@ -243,18 +244,22 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     signed = common.cut(signatures(docs, words))
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    heads = some.join(classes.select("rep"), some["doc_id"] == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"))
-    reps = common.cut(heads.agg(F.min(F.struct(F.col("n_shingles").alias("n"), "sketch")).alias("s")).select("rep", "s.n", "s.sketch"))
+    # every row of a class has the same set, so any of its sketches and texts will do
+    classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", F.col("n_shingles").alias("n"), "sketch")).alias("s"))
+    reps = common.cut(classes.select(F.col("k1").alias("rep"), "s.n", "s.sketch", "s.doc_id", "s.row"))
+    # the classes of one id belong together
+    own = some.select("doc_id", "k1").distinct()
+    several = own.groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a <> z").select("doc_id", "a")
+    same = own.join(several, "doc_id").where("a <> k1").select("a", F.col("k1").alias("b"))
 
     bands = _bands(reps)
     full = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = common.cut(bands.join(full, "band"))
     central = buckets.groupBy("rep").agg(F.sum("members").alias("weight"))
     weighed = buckets.join(central, "rep")
-    lead = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("m")).select("band", (-F.col("m.minus")).alias("lead"), F.col("m.n").alias("lead_n"))
+    lead = weighed.groupBy("band").agg(F.max(F.struct("weight", "rep", "n")).alias("m")).select("band", F.col("m.rep").alias("lead"), F.col("m.n").alias("lead_n"))
     stars = buckets.join(lead, "band").where(f"rep <> lead and 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = common.cut(_shingles_of(docs, buckets.select("rep").distinct(), words))
+    sets = common.cut(_shingles_of(docs, reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "row"), words))
     found = common.cut(_verified(_hopeful(stars, reps), sets))
 
     first = graph.components(found).withColumnsRenamed({"node": "rep", "component": "comp"})
@@ -263,9 +268,11 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     groups = common.cut(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct())
     more = _verified(_hopeful(_prefix_pairs(sets, groups), reps), sets)
 
-    whole = graph.components(found.union(more))
-    per_class = classes.join(whole, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    joined = signed.join(per_class, ["k1", "k2"], "left")
+    whole = graph.components(found.union(more).union(same))
+    placed = reps.select("rep", "doc_id").join(whole, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("doc_id").alias("component"))
+    per_class = placed.join(least, "comp").select(F.col("rep").alias("k1"), "component")
+    joined = signed.join(per_class, "k1", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
