@@ -16,11 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textbuf
 
 EDGES = "a long, b long"
-#: Edges (16 bytes each) up to which one task finishes what the contraction has left; more take the star operations.
-MOST_AT_ONCE = 1_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +50,7 @@ def contracted(edges: DataFrame) -> DataFrame:
                 root, node = forest(batch.column(0).to_numpy(), batch.column(1).to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, EDGES)
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) of a bounded number of edges."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
-    root, node = forest(a, b) if len(a) else (a, b)
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component"])
+    return edges.select("a", "b").mapInArrow(textbuf.lean(run), EDGES)
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -80,7 +70,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
             again = ~new & (b == np.append(last if last is not None else b[0], b[:-1]))
             first = np.flatnonzero(new)
             heads = np.minimum(a[first], b[first]) if large else b[first]
-            m = np.concatenate([[] if new[0] else [least], heads]).astype(np.int64)[np.cumsum(new) - int(new[0])]
+            m = np.concatenate([np.array([] if new[0] else [least], np.int64), heads])[np.cumsum(new) - int(new[0])]  # ids use all 64 bits
             keep = ~again & ((b > a) if large else (b != m))
             out_a, out_b = m[keep], b[keep]
             if not large:
@@ -88,20 +78,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
             key, least, last = a[-1], m[-1], b[-1]
             yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b)], names=["a", "b"])
 
-    return edges.repartition(common.partitions(edges.sparkSession), "a").sortWithinPartitions("a", "b").mapInArrow(run, EDGES)
+    return edges.repartition(common.partitions(edges.sparkSession), "a").sortWithinPartitions("a", "b").mapInArrow(textbuf.lean(run), EDGES)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) that isn't the smallest of its component."""
-    now = common.cut(contracted(edges.where("a <> b")))  # a < b from here on
+    spark = edges.sparkSession
+    now, folder = common.written(contracted(edges.where("a <> b")), "edges")  # a < b from here on
     state = _state(now)
-    if state[0] <= MOST_AT_ONCE:
-        return now.repartition(1).mapInArrow(_whole, "node long, component long")
     while state[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(both, large=True)
-        now = common.cut(_stars(large.select(F.col("b").alias("a"), F.col("a").alias("b")), large=False))
-        state, before = _state(now), state
+        next_, there = common.written(_stars(large.select(F.col("b").alias("a"), F.col("a").alias("b")), large=False), "edges")
+        common.remove(spark, folder)
+        before, now, folder = state, next_, there
+        state = _state(now)
         if state == before:
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).distinct()
