@@ -126,11 +126,14 @@ def test_estimate_is_close(texts):
     assert np.abs(found - true).max() < 0.2
 
 
-@pytest.mark.parametrize("most", [0, 1_000_000])
-def test_components(spark, monkeypatch, most):
-    monkeypatch.setattr(graph, "MOST_AT_ONCE", most)
+def small_edges(r):
+    return [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(1, 50)]
+
+
+@pytest.mark.parametrize("scale", [1, 3_000_000_000_000_001, -3_000_000_000_000_001])
+def test_components(spark, scale):
     r = np.random.default_rng(5)
-    edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2000 + k) for k in range(1, 50)]
+    edges = [(a * scale, b * scale) for a, b in small_edges(r)]
     nodes = {n for e in edges for n in e}
     found = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(edges, graph.EDGES).repartition(5)).collect()}
     expected = components(nodes, edges)

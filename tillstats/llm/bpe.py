@@ -25,15 +25,12 @@ from .chunkcode import ChunkEncoder
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A]] = True
-#: Bytes that surely open a character other than white space, which is ASCII or opens with C2, E1, E2 or E3.
-_OPENS = np.zeros(256, bool)
-_OPENS[0x21:0x7F] = True
-_OPENS[0xC3:0xE0] = True
-#: Bytes of U+00C0 to U+07FF: the lead byte; no white space lies there.
-_LEAD2 = np.zeros(256, bool)
-_LEAD2[0xC3:0xE0] = True
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
+#: First two bytes of the white space beyond ASCII: U+0085 and U+00A0; U+1680, U+2000 to U+2FFF's first two rows, U+3000's row.
+_MAY_BE_WHITE = np.zeros((256, 256), bool)
+_MAY_BE_WHITE[0xC2, [0x85, 0xA0]] = True
+_MAY_BE_WHITE[[0xE1, 0xE2, 0xE2, 0xE3], [0x9A, 0x80, 0x81, 0x80]] = True
 
 
 @cache
@@ -46,21 +43,29 @@ def _encoding(path: str, pattern: str):
 
 
 def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Where a text may be cut without changing a match: before a lone space or line feed."""
+    """Where a text may be cut without changing a match: before a lone space or line feed.
+
+    The characters on either side must surely be none; ASCII is known by its byte, others by their first two.
+    """
     n = len(data)
     if n < 3:
         return np.zeros(0, np.int64)
     at = np.flatnonzero(_SPACE[data[1:-1]]) + 1
-    before = _PRINTED[data[at - 1]] | (_LEAD2[data[np.maximum(at - 2, 0)]] & (at >= 2))
-    return at[before & _OPENS[data[at + 1]]]
+    back = [data[np.maximum(at - k, 0)] for k in (1, 2, 3)]
+    # a character of two bytes opens two places back, one of three three; longer ones are no white space
+    before = _PRINTED[back[0]] | ((back[0] >= 0x80) & (at >= 3) & ~_MAY_BE_WHITE[back[1], back[0]] & ~_MAY_BE_WHITE[back[2], back[1]])
+    one, two = data[at + 1], data[np.minimum(at + 2, n - 1)]
+    after = _PRINTED[one] | ((one >= 0xC2) & ~_MAY_BE_WHITE[one, two])
+    return at[before & after]
 
 
-def _chunks(data: np.ndarray, offs: np.ndarray):
+def _chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opens = np.zeros(len(data), bool)
-    opens[offs[:-1][np.diff(offs) > 0]] = True
     opens[safe_cuts(data)] = True
+    opens[offs[:-1][np.diff(offs) > 0]] = True
     starts = np.flatnonzero(opens)
-    return starts, np.append(starts[1:], len(data)), np.searchsorted(offs, starts, "right") - 1
+    upto = np.append(0, np.cumsum(opens))[offs]
+    return data, np.diff(np.append(starts, len(data))), np.diff(upto)
 
 
 @cache
@@ -87,7 +92,7 @@ def _encoder(path: str, pattern: str, text: str, ids: str):
                 found, bounds = coder.encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield _with_column(batch, lo, hi, ids, _binary(found.astype("<u4").view(np.uint8), bounds * 4))
 
-    return run
+    return textbuf.lean(run)
 
 
 def _decoder(path: str, pattern: str, ids: str, decoded: str):
@@ -99,7 +104,7 @@ def _decoder(path: str, pattern: str, ids: str, decoded: str):
                 rows = [decode_bytes(data[offs[i] : offs[i + 1]].view("<u4").tolist()) for i in range(lo, hi)]
                 yield _with_column(batch, lo, hi, decoded, pa.array(rows, pa.binary()))
 
-    return run
+    return textbuf.lean(run)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -3,7 +3,7 @@
 A tokenizer that never lets a token cross certain boundaries gives for a text
 the ids of its chunks, one after another. Chunks repeat far more than texts do,
 so each is given to the library once per worker and its ids are copied from
-then on by array operations.
+then on by array operations. Chunks are told apart by their bytes, not by hashes.
 """
 
 from __future__ import annotations
@@ -14,50 +14,40 @@ import numpy as np
 
 from . import textbuf
 
-#: Chunks remembered by one worker before it starts anew (about 30 bytes each and their ids).
-MOST_CHUNKS = 1_000_000
+#: Chunks remembered by one worker before it starts anew, and the bytes of those worth remembering.
+MOST_CHUNKS, MOST_BYTES = 250_000, 256
 
 
 class ChunkEncoder:
-    """``encode_many`` maps strings to id lists; ``split`` maps (data, offs) to chunk starts, ends, documents."""
+    """``encode_many`` maps strings to id lists; ``split`` maps (data, offs) to chunk bytes, lengths and chunks of each document."""
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], split: Callable, most: int = MOST_CHUNKS):
         self._encode_many, self._split, self._most = encode_many, split, most
-        self._forget()
-
-    def _forget(self) -> None:
-        self._keys, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self._at, self._count, self._pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, places: np.ndarray, texts: list[bytes]) -> None:
-        """Adds chunks whose ascending keys belong at ``places`` of the known ones."""
-        ids = self._encode_many([t.decode("utf-8", "replace") for t in texts])
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
-        self._at = np.insert(self._at, places, np.cumsum(count) - count + len(self._pool))
-        self._keys, self._count = np.insert(self._keys, places, keys), np.insert(self._count, places, count)
-        self._sizes = np.insert(self._sizes, places, np.fromiter(map(len, texts), np.int32, len(texts)))
-        self._pool = np.concatenate([self._pool, np.fromiter((i for row in ids for i in row), np.uint32, int(count.sum()))])
+        self._known: dict[bytes, np.ndarray] = {}
+
+    def _learned(self, chunks: list[bytes]) -> list[np.ndarray]:
+        known = self._known
+        found = [known.get(c) for c in chunks]
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            if len(known) + len(new) > self._most:
+                known.clear()
+            for i, ids in zip(new, self._encode_many([chunks[i].decode("utf-8", "replace") for i in new]), strict=True):
+                found[i] = ids = np.array(ids, np.uint32)
+                if len(chunks[i]) <= MOST_BYTES and len(known) < self._most:
+                    known[chunks[i]] = ids
+        return found
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice as uint32, and each document's bounds."""
-        n = len(offs) - 1
-        starts, ends, doc = self._split(data, offs)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-        keys, first, back = np.unique(textbuf.SpanHash(data)(starts, ends), return_index=True, return_inverse=True)
-        if len(self._keys) + len(keys) > self._most or len(self._pool) > 8 * self._most:
-            self._forget()
-        raw = data.tobytes()
-        at = np.searchsorted(self._keys, keys)
-        known = at < len(self._keys)
-        known[known] = self._keys[at[known]] == keys[known]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            self._learn(keys[new], at[new], [raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self._keys, keys)
-        if not np.array_equal(self._sizes[at[back]], ends - starts):
-            raise RuntimeError("two chunks of different lengths share a 64-bit hash")
-        count = self._count[at][back]
-        ids = self._pool[textbuf.ragged(self._at[at][back], count)]
-        per_doc = np.bincount(doc, count, n).astype(np.int64)
-        return ids, np.append(0, np.cumsum(per_doc))
+        raw, lengths, chunks = self._split(data, offs)
+        if not len(lengths):
+            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+        number, distinct = textbuf.numbered(textbuf.strings(raw, lengths))
+        found = self._learned(distinct.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        pool, at = np.concatenate(found), np.cumsum(size) - size
+        count = size[number]
+        ids = pool[textbuf.ragged(at[number], count)]
+        upto = np.append(0, np.cumsum(count))
+        return ids, upto[np.append(0, np.cumsum(chunks))]

@@ -20,13 +20,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one where none is set and one machine does everything (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        there = spark.sparkContext.getCheckpointDir()
-        folder = there if there else tempfile.mkdtemp(prefix="tillstats-")
-        if not there:
-            spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+        if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tillstats-"))
             folder = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -37,6 +38,18 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows written to the shared folder and read again, and where, so that they can be removed once nothing needs them."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, without their lineage."""
     shared_folder(df.sparkSession)

@@ -138,7 +138,7 @@ def _scattered(classes: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "t", "code", "home", "rep"])
 
-    return classes.select("rep", "label", "embedding").mapInArrow(run, "bucket long, t int, code long, home boolean, rep long")
+    return classes.select("rep", "label", "embedding").mapInArrow(textbuf.lean(run), "bucket long, t int, code long, home boolean, rep long")
 
 
 def _vectors(classes: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def _vectors(classes: DataFrame) -> DataFrame:
                 columns = [part.column(0), part.column(3), pa.array(all_codes, pa.binary()), pa.array([r.tobytes() for r in unit.astype("<f8")], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["rep", "w", "codes", "vector"])
 
-    return classes.select("rep", "label", "embedding", "w").mapInArrow(run, "rep long, w long, codes binary, vector binary")
+    return classes.select("rep", "label", "embedding", "w").mapInArrow(textbuf.lean(run), "rep long, w long, codes binary, vector binary")
 
 
 def _meets_first(a: np.ndarray, b: np.ndarray, t: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -273,7 +273,7 @@ def _compared(blocks: DataFrame, cosine: float) -> DataFrame:
             yield told(pa.Table.from_batches(kept).combine_chunks())
 
     n = common.partitions(blocks.sparkSession)
-    return blocks.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, _FOUND)
+    return blocks.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(textbuf.lean(run), _FOUND)
 
 
 def link(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:

@@ -95,7 +95,7 @@ def fingerprint(df: DataFrame, text: str = "text", bins: int = BINS, bits: int =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(as_hex(rows, bits), pa.string())], names=[*part.schema.names, "fingerprint"])
 
     df = df.drop("fingerprint")
-    return df.mapInArrow(run, df.withColumn("fingerprint", F.lit("")).schema)
+    return df.mapInArrow(textbuf.lean(run), df.withColumn("fingerprint", F.lit("")).schema)
 
 
 def _rings(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _rings(docs: DataFrame) -> DataFrame:
                     names=["ring", "tail", "doc_id", "text"],
                 )
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "ring int, tail int, doc_id long, text string")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(textbuf.lean(run), "ring int, tail int, doc_id long, text string")
     # a higher bound's row stands for ring q = number of bounds not below it; see ring above
     return rows.repartition(n, "ring").sortWithinPartitions("ring", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
@@ -178,4 +178,4 @@ def edited(docs: DataFrame, bins: int = BINS, bits: int = BITS, words: int = 5)
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return _rings(docs).mapInArrow(run, RESULT)
+    return _rings(docs).mapInArrow(textbuf.lean(run), RESULT)

@@ -1,14 +1,14 @@
 """Near-duplicate documents by HyperMinHash sketches, banding and full-set verification.
 
-1. Each document becomes the set of its distinct word shingles; equal sets form one class, known by a
-   128-bit digest; its first 64 bits (``rep``) name it in all that follows, and one text stands for it.
+1. Each document becomes the set of its distinct word shingles. Documents with the same words in the same order form one
+   class, known by a 128-bit cryptographic digest of these words; its first 64 bits (``rep``) name it in all that follows.
 2. A HyperMinHash sketch keeps for each of 128 buckets the leading-zero count and
    16 mantissa bits of the bucket's least hash. Bands of 4 compressed registers are hashed; bands without
    any register are left out, since they say nothing. At a likeness of 0.75 a pair
    misses all 32 bands with probability 5e-6 at most; smaller sets miss less often.
 3. In every bucket that several classes share, all members are compared with its most central
-   member (the one with the fullest buckets). Links are confirmed on the full sets and joined
-   to components. A bucket whose members then belong to one component needs nothing more.
+   member (the one with the fullest buckets). Links are confirmed on the full sets, made of the words of both
+   texts themselves (no hash decides), and joined to components. A bucket whose members then belong to one component needs nothing more.
 4. The members of the other buckets meet in an exact prefix join: shingles are ordered from rare to
    common, and two sets that reach the threshold share one early enough in that order. Only pairs of different
    components meet; the collision-corrected estimate drops the hopeless, the full sets decide.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,59 +102,95 @@ def _any_register(z: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, a hash of the text (row), n_shingles, the 128-bit key of the shingle set and its sketch."""
+    """doc_id, a hash of the text (row), n_shingles, the 128-bit key of the words and the sketch of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = textbuf.buffer_of(batch.column(1))
             for lo, hi in textbuf.slices(offs):
                 hashes, bounds = textbuf.shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-                keys = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                keys = [hashlib.blake2b(t, digest_size=16).digest() for t in textbuf.normalised(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])]
                 key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
                 columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(pack(*sketches(hashes, bounds)), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, SIGNATURES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(textbuf.lean(run), SIGNATURES)
 
 
-def _shingles_of(docs: DataFrame, heads: DataFrame, words: int) -> DataFrame:
-    """(rep, hashes): the full sets of the texts in ``heads`` (rep, doc_id, row), one row a class."""
+def _texts_of(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """(rep, text): one text for each class in ``heads`` (rep, doc_id, row)."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(common.lookup(heads), ["doc_id", "row"])
+    return rows.groupBy("rep").agg(F.min("text").alias("text"))
+
+
+def exact_sets(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text as ascending numbers, and their bounds; equal numbers are equal words throughout."""
+    data, offs = textbuf.buffer_of(texts)
+    number, _, count = textbuf.words(data, offs)
+    begin = np.cumsum(count) - count
+    made = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))
+    at = textbuf.ragged(begin, made)
+    text = np.repeat(np.arange(len(made)), made)
+    rows = np.full((len(at), words), -1, np.int64)  # a text with fewer words has one short row
+    for j in range(words):
+        inside = at + j < (begin + count)[text]
+        rows[inside, j] = number[at[inside] + j]
+    hashed = np.zeros(len(at), np.uint64)
+    for column in rows.T:
+        hashed = textbuf.mix(hashed + column.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(hashed, kind="stable")
+    same = hashed[order[1:]] == hashed[order[:-1]]
+    if (rows[order[1:][same]] == rows[order[:-1][same]]).all():
+        shingle = np.empty(len(at), np.int64)
+        shingle[order] = np.cumsum(np.append(True, ~same)[: len(at)])
+    else:  # unequal words under one hash
+        shingle = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+    most = len(at) + 1
+    own = np.unique(text * most + shingle)
+    return own % most, np.searchsorted(own // most, np.arange(len(made) + 1))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Those (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = textbuf.buffer_of(batch.column(1))
+            size = pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_numpy()
+            for lo, hi in textbuf.slices(np.append(0, np.cumsum(size, dtype=np.int64))):
+                part = batch.slice(lo, hi - lo)
+                # a text that stands in many pairs is read once
+                both = pa.concat_arrays([part.column(2), part.column(3)]).dictionary_encode()
+                shingles, bounds = exact_sets(both.dictionary, words)
+                at = both.indices.to_numpy()
+                sizes = np.diff(bounds)
+                x, y = at[: hi - lo], at[hi - lo :]
+                keep = np.zeros(hi - lo, bool)
+                for i, (j, k) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                    own = np.concatenate([shingles[bounds[j] : bounds[j + 1]], shingles[bounds[k] : bounds[k + 1]]])
+                    own.sort()
+                    common_ = int((own[1:] == own[:-1]).sum())
+                    keep[i] = 100 * common_ >= PERCENT * (sizes[j] + sizes[k] - common_)
+                kept = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(kept), part.column(1).take(kept)], names=["a", "b"])
+
+    joined = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    joined = joined.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(textbuf.lean(run), graph.EDGES)
+
+
+def _set_hashes(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, comp, hashes): the set of each text (rep, comp, text) as 64-bit hashes, which only the search for candidates uses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = textbuf.buffer_of(batch.column(2))
             for lo, hi in textbuf.slices(offs):
                 hashes, bounds = textbuf.shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
                 raw = hashes.tobytes()
                 sets = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "hashes"])
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(common.lookup(heads), ["doc_id", "row"])
-    wanted = rows.groupBy("rep").agg(F.min("text").alias("text"))
-    return wanted.mapInArrow(run, "rep long, hashes binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) whose full sets reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            da, oa = textbuf.buffer_of(batch.column(2))
-            db, ob = textbuf.buffer_of(batch.column(3))
-            ha, hb, oa, ob = np.ascontiguousarray(da).view(np.uint64), np.ascontiguousarray(db).view(np.uint64), oa // 8, ob // 8
-            keep = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                x, y = ha[oa[i] : oa[i + 1]], hb[ob[i] : ob[i + 1]]
-                both = np.concatenate([x, y])
-                both.sort()
-                common_ = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common_ >= PERCENT * (len(x) + len(y) - common_)
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "comp", "hashes"])
 
-    joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
-    joined = joined.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
-    return joined.select("a", "b", "ha", "hb").mapInArrow(run, graph.EDGES)
+    return texts.select("rep", "comp", "text").mapInArrow(textbuf.lean(run), "rep long, comp long, hashes binary")
 
 
 def _hopeful(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -167,7 +204,7 @@ def _hopeful(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     joined = pairs.join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     joined = joined.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, graph.EDGES)
+    return joined.select("a", "b", "sa", "sb").mapInArrow(textbuf.lean(run), graph.EDGES)
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -181,17 +218,17 @@ def _bands(reps: DataFrame) -> DataFrame:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[row, col].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["band", "rep", "n"])
 
-    return reps.select("rep", "n", "sketch").mapInArrow(run, "band long, rep long, n long")
+    return reps.select("rep", "n", "sketch").mapInArrow(textbuf.lean(run), "band long, rep long, n long")
 
 
-def _prefix_pairs(sets: DataFrame, groups: DataFrame) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, groups: DataFrame, words: int) -> DataFrame:
     """Pairs (a, b) of different components (``groups``: rep, comp) that could reach the threshold.
 
     Two sets that do share a shingle whose places in both, ordered from rare to common, leave enough
     common shingles to come; the first shared one does. Shingle counts come from a table of fixed size over all the
     sets, so hot shingles sort last; colliding counts change the order, never the result.
     """
-    spark = sets.sparkSession
+    spark = texts.sparkSession
     mask = COUNT_SLOTS - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +239,8 @@ def _prefix_pairs(sets: DataFrame, groups: DataFrame) -> DataFrame:
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
 
-    own = sets.join(groups.select("rep", "comp"), "rep")
-    table = common.gathered(own.select("hashes").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    own = common.cut(_set_hashes(texts.join(groups.select("rep", "comp"), "rep"), words))
+    table = common.gathered(own.select("hashes").mapInArrow(textbuf.lean(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     counts = np.zeros(COUNT_SLOTS, np.uint32)
     counts[table["slot"]] = np.minimum(table["n"], 2**32 - 1)
     shared = spark.sparkContext.broadcast(counts)
@@ -227,7 +264,7 @@ def _prefix_pairs(sets: DataFrame, groups: DataFrame) -> DataFrame:
                 names=["shingle", "rep", "comp", "n", "place"],
             )
 
-    index = own.select("rep", "comp", "hashes").mapInArrow(prefixes, "shingle long, rep long, comp long, n long, place long")
+    index = own.select("rep", "comp", "hashes").mapInArrow(textbuf.lean(prefixes), "shingle long, rep long, comp long, n long, place long")
     mixed = index.groupBy("shingle").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("shingle")
     # no shingle of one component only, or of one document, can show a new link
     live = common.cut(index.join(mixed, "shingle"))
@@ -244,7 +281,7 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
     signed = common.cut(signatures(docs, words))
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    # every row of a class has the same set, so any of its sketches and texts will do
+    # every row of a class has the same words, so any of its sketches and texts will do
     classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", F.col("n_shingles").alias("n"), "sketch")).alias("s"))
     reps = common.cut(classes.select(F.col("k1").alias("rep"), "s.n", "s.sketch", "s.doc_id", "s.row"))
     # the classes of one id belong together
@@ -259,14 +296,14 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     weighed = buckets.join(central, "rep")
     lead = weighed.groupBy("band").agg(F.max(F.struct("weight", "rep", "n")).alias("m")).select("band", F.col("m.rep").alias("lead"), F.col("m.n").alias("lead_n"))
     stars = buckets.join(lead, "band").where(f"rep <> lead and 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    sets = common.cut(_shingles_of(docs, reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "row"), words))
-    found = common.cut(_verified(_hopeful(stars, reps), sets))
+    texts = common.cut(_texts_of(docs, reps.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "row")))
+    found = common.cut(_verified(_hopeful(stars, reps), texts, words))
 
     first = graph.components(found).withColumnsRenamed({"node": "rep", "component": "comp"})
     placed = buckets.select("band", "rep").join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_ = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
     groups = common.cut(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct())
-    more = _verified(_hopeful(_prefix_pairs(sets, groups), reps), sets)
+    more = _verified(_hopeful(_prefix_pairs(texts, groups, words), reps), texts, words)
 
     whole = graph.components(found.union(more).union(same))
     placed = reps.select("rep", "doc_id").join(whole, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("comp"))
@@ -280,5 +317,5 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
 def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay, one id of each group of near-duplicates, with all their columns."""
     names = docs.columns
-    away = common.lookup(link(docs, words).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(away, docs["doc_id"] == F.col("__gone"), "left_anti").select(*names)
+    away = common.lookup(link(docs, words).where("not kept").select("doc_id").distinct())
+    return docs.alias("d").join(away.alias("gone"), F.col("d.doc_id") == F.col("gone.doc_id"), "left_anti").select(*(F.col(f"`{n}`") for n in names))

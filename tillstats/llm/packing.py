@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, tokens
+from . import common, textbuf, tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, bucke
                 )
 
     rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("bucket"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(textbuf.lean(run), PIECES)
 
 
 def place(pieces_: DataFrame, capacities: Capacities = Capacities(), score: str = "norm") -> DataFrame:
@@ -143,7 +143,7 @@ def place(pieces_: DataFrame, capacities: Capacities = Capacities(), score: str
             kept = [column[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(first[at] + rank - ranks[at]), pa.array(offsets[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("rank0")).alias("rank")).mapInArrow(run, PLACED)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("rank0")).alias("rank")).mapInArrow(textbuf.lean(run), PLACED)
 
 
 def pack(docs: DataFrame, path: str, capacities: Capacities = Capacities(), end: int = 0, score: str = "norm") -> DataFrame:

@@ -210,9 +210,9 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, vocabulary: int
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "path", "entries", "ids", "first", "last"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(coded, "shard int, doc_id long, ids binary")
+    rows = docs.select("doc_id", "text").mapInArrow(textbuf.lean(coded), "shard int, doc_id long, ids binary")
     dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    manifest = dealt.mapInArrow(save, MANIFEST).collect()  # the action that writes: one small row per shard
+    manifest = dealt.mapInArrow(textbuf.lean(save), MANIFEST).collect()  # the action that writes: one small row per shard
     return spark.createDataFrame([tuple(r) for r in sorted(manifest, key=lambda r: r["shard"])], MANIFEST)
 
 
@@ -238,7 +238,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     yield _batch(cells)
 
     listed = spark.createDataFrame(shards, "path string, start long").repartition(max(1, len(shards)), "path")
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.mapInArrow(textbuf.lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _batch(cells: list[tuple]) -> pa.RecordBatch:

@@ -12,7 +12,11 @@ Documents are dealt to chunks by id. Tasks send one entry per chunk and distinct
 minimizer (then distinct string), whatever the number of documents in the chunk that hold it, and answers
 return to the chunk; so a passage in a third of all documents costs a row per chunk.
 
-1. chunk -> distinct minimizers; a minimizer that only one document holds cannot open a repeated window.
+A minimizer with more than ``MOST_STRINGS`` distinct strings (a common phrase in ever new surroundings) would
+send them all to one task. Its windows are dealt by their next digit instead, all of their bytes, so that each distinct
+window travels alone, once a chunk, and a hot phrase spreads over all partitions.
+
+1. chunk -> distinct minimizers with the number of their strings; a minimizer that only one document holds cannot open a repeated window.
 2. chunk + live minimizers -> strings of the windows they open, with the chunk's smallest document.
 3. radix sort; answer, per string, a bit per window: it also starts in a smaller document of another chunk.
 4. chunk + live minimizers + answers -> the bytes to remove, judged on the input.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,10 @@ GRAM = 20
 #: The digit's bits that travel with a minimizer, beside its partition.
 _BITS = np.uint64(40)
 _LEAST = np.iinfo(np.int64).min
+#: Window starts worked on at once.
+BLOCK = 1 << 20
+#: Distinct strings of one minimizer (counted by chunk, rounded down to a power of two) up to which they go to one partition.
+MOST_STRINGS = 4_096
 #: Windows ordered at once within a partition.
 _MOST_WINDOWS = 400_000
 MESSAGES = "to int, chunk int, body binary"
@@ -62,32 +71,62 @@ def minimizers(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(values[left] < values[right], left, right)
 
 
+_TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for the places of a block; odd numbers have inverses."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(BLOCK + 128, np.uint64(base))
+        powers[0] = 1
+        out.append(np.multiply.accumulate(powers))
+    return out[0], out[1]
+
+
+class SpanHash:
+    """64-bit hashes of any spans of a block after one pass over it. They order and deal; equality is judged by bytes."""
+
+    def __init__(self, data: np.ndarray):
+        up, self._down = _powers()
+        self._sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * up[: len(data)], out=self._sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return textbuf.mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * _TABLE[0])
+
+
 class Strings:
     """The strings of a chunk's documents: runs of neighbouring windows of one document with one minimizer.
 
     For each its first window's start and document, the number of windows, the place of the gram from the
-    start, the gram's scrambled value, and a hash of the string and that place. Worked out for slices of whole documents.
+    start, the gram's scrambled value, and a hash of the string and that place. Worked out for blocks of window
+    starts, wherever documents end; a run that a block's end parts is two strings, which changes no window.
     """
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, length: int):
-        parts = [self._of(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lo, offs[lo], length) for lo, hi in textbuf.slices(offs)]
-        kinds = (np.int64, np.int64, np.int64, np.uint8, np.uint64, np.uint64)
+        parts = [self._of(data, offs, lo, length) for lo in range(0, len(data), BLOCK)]
+        kinds = (np.int64, np.int32, np.uint8, np.uint8, np.uint64, np.uint64)
         columns = zip(*parts, strict=True) if parts else [()] * 6
-        self.start, self.doc, self.count, self.gram, self.key, self.hash = (np.concatenate([np.zeros(0, k), *c]) for c, k in zip(columns, kinds, strict=True))
+        self.start, self.doc, self.count, self.gram, self.key, self.hash = (np.concatenate([np.zeros(0, k), *c], dtype=k) for c, k in zip(columns, kinds, strict=True))
 
     @staticmethod
-    def _of(data: np.ndarray, offs: np.ndarray, doc0: int, start0: int, length: int) -> tuple[np.ndarray, ...]:
-        n = len(data) - length + 1
+    def _of(data: np.ndarray, offs: np.ndarray, lo: int, length: int) -> tuple[np.ndarray, ...]:
+        hi = min(len(data), lo + BLOCK + length - 1)
+        n = hi - lo - length + 1
         if n <= 0:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        size = np.diff(offs)
-        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[:n]
-        end = np.repeat(offs[1:], size)[:n]
-        hashed = textbuf.SpanHash(data)
-        every = np.arange(len(data) - GRAM + 1)
+            return (np.zeros(0, np.int64), np.zeros(0, np.int32)) + (np.zeros(0, np.uint8),) * 2 + (np.zeros(0, np.uint64),) * 2
+        first, last = int(np.searchsorted(offs, lo, "right")) - 1, int(np.searchsorted(offs, hi, "left"))
+        size = np.diff(np.clip(offs[first : last + 1], lo, hi))
+        doc = np.repeat(np.arange(first, last, dtype=np.int32), size)[:n]
+        end = np.repeat(offs[first + 1 : last + 1] - lo, size)[:n]
+        hashed = SpanHash(data[lo:hi])
+        every = np.arange(hi - lo - GRAM + 1)
         values = hashed(every, every + GRAM)
         at = minimizers(values, length - GRAM + 1)
-        start = np.flatnonzero(np.arange(n) + length <= end)
+        start = np.flatnonzero(every[:n] + length <= end)
         doc, at = doc[start], at[start]
         new = np.ones(len(start), bool)
         new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
@@ -96,7 +135,17 @@ class Strings:
         start, at = start[first], at[first]
         gram = (at - start).astype(np.uint8)
         whole = hashed(start, start + count + length - 1) ^ textbuf.mix(gram.astype(np.uint64))
-        return start + start0, doc[first].astype(np.int64) + doc0, count, gram, values[at], whole
+        return start + lo, doc[first], count.astype(np.uint8), gram, values[at], whole
+
+
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window's bytes, eight at a time."""
+    padded = np.zeros((len(starts), -(-length // 8) * 8), np.uint8)
+    padded[:, :length] = data[starts[:, None] + np.arange(length)]
+    out = np.full(len(starts), _TABLE[1])
+    for column in padded.view("<u8").T:
+        out = textbuf.mix(out ^ column.astype(np.uint64)) + _TABLE[2]
+    return out
 
 
 def _split(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,43 +197,60 @@ class Chunk:
         return Strings(self.data, self.offs, self.length)
 
     def announced(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        """(partition, body): distinct minimizers and whether several documents of the chunk hold each."""
+        """(partition, body): distinct minimizers, whether several documents of the chunk hold each, and the length in bits of its count of strings."""
         w = self.all_strings()
-        key, doc = w.key, self.ids[w.doc]
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(new)
-        if not len(first):
+        if not len(w.key):
             return
-        last = np.append(first[1:], len(key)) - 1
-        several = doc[last] != doc[first]
+        order = np.lexsort((w.hash, w.key))
+        key, hashed = w.key[order], w.hash[order]
+        new = np.append(True, key[1:] != key[:-1])
+        other = new | np.append(True, hashed[1:] != hashed[:-1])
+        first = np.flatnonzero(new)
+        doc = w.doc[order]  # equal ids are neighbours, so the outermost documents tell
+        several = self.ids[np.minimum.reduceat(doc, first)] != self.ids[np.maximum.reduceat(doc, first)]
+        bits = np.frexp(np.add.reduceat(other, first, dtype=np.int64).astype(float))[1].astype(np.uint8)
         part, digit = _split(key[first], parts)
         order = np.lexsort((digit, part))
-        part, digit, several = part[order], digit[order], several[order]
+        part, digit, several, bits = part[order], digit[order], several[order], bits[order]
         bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         for lo, hi in zip(bounds, np.append(bounds[1:], len(part)), strict=True):
-            yield int(part[lo]), _body(_five(digit[lo:hi]).tobytes(), _bits(several[lo:hi]))
+            yield int(part[lo]), _body(_five(digit[lo:hi]).tobytes(), _bits(several[lo:hi]), bits[lo:hi].tobytes())
 
-    def strings(self, parts: int, live: dict[int, np.ndarray]) -> dict:
-        """The distinct strings behind live minimizers; ``place`` numbers them within their partition."""
+    def strings(self, parts: int, live: dict[int, bytes]) -> dict:
+        """The distinct strings behind live minimizers, in single windows behind hot ones."""
         w = self.all_strings()
         part, digit = _split(w.key, parts)
-        alive = np.zeros(len(part), bool)
+        alive, hot = np.zeros((2, len(part)), bool)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        for p, digits in live.items():
+        for p, body in live.items():
+            raw, flags = _parts(body)
+            digits = _from_five(np.frombuffer(raw, np.uint8))  # ascending
             own = order[bounds[p] : bounds[p + 1]]
-            alive[own] = np.isin(digit[own], digits)
-        start, doc, count, minimizer, hashed = (c[alive] for c in (w.start, w.doc, w.count, w.gram, w.hash))
-        size, part, digit = count + self.length - 1, part[alive], digit[alive]
-        # equal strings of the chunk are one: same bytes, same gram
-        # equal hashes first, then the bytes themselves; documents ascend, so the first has the smallest id
-        _, once, number = np.unique(hashed, return_index=True, return_inverse=True)
-        if not self._same(start, size, minimizer, once[number]):
-            _, once, number = np.unique(self._exact(start, size, minimizer), return_index=True, return_inverse=True)
-        return {"part": part, "digit": digit, "start": start, "doc": doc, "size": size, "count": count, "minimizer": minimizer, "number": number, "once": once}
+            at = np.minimum(np.searchsorted(digits, digit[own]), len(digits) - 1)
+            alive[own] = digits[at] == digit[own]
+            hot[own] = alive[own] & _flags(flags, len(digits))[at]
+        split = np.flatnonzero(hot)
+        rows = np.repeat(split, w.count[split])
+        turn = textbuf.ragged(np.zeros(len(split), np.int64), w.count[split].astype(np.int64))
+        start = w.start[rows] + turn
+        hashed = np.concatenate([np.zeros(0, np.uint64), *(window_hashes(self.data, start[k : k + 20_000], self.length) for k in range(0, len(start), 20_000))])
+        alone = _split(hashed, parts)
+        alive &= ~hot
+        columns = {
+            "part": (part[alive], alone[0]), "digit": (digit[alive], alone[1]), "start": (w.start[alive], start), "doc": (w.doc[alive], w.doc[rows]),
+            "count": (w.count[alive], np.ones(len(rows), np.uint8)), "minimizer": (w.gram[alive], (w.gram[rows] - turn).astype(np.uint8)), "hash": (w.hash[alive], textbuf.mix(hashed)),
+        }
+        s = {name: np.concatenate(c) for name, c in columns.items()}
+        s["count"] = s["count"].astype(np.int64)
+        s["size"] = s["count"] + self.length - 1
+        # equal strings of the chunk are one: same bytes, same gram, same digit; equal hashes first, then the bytes themselves
+        _, once, number = np.unique(s.pop("hash"), return_index=True, return_inverse=True)
+        if not (self._same(s["start"], s["size"], s["minimizer"], once[number]) and np.array_equal(s["digit"], s["digit"][once[number]])):
+            _, once, number = np.unique(self._exact(s["start"], s["size"], s["minimizer"], s["digit"]), return_index=True, return_inverse=True)
+        least = np.full(len(once), np.iinfo(np.int32).max, np.int32)
+        np.minimum.at(least, number, s["doc"])  # documents ascend by id
+        return s | {"number": number, "once": once, "head": least[number]}
 
     def _same(self, start: np.ndarray, size: np.ndarray, minimizer: np.ndarray, other: np.ndarray) -> bool:
         """Whether each string equals the string ``other`` names."""
@@ -196,21 +262,21 @@ class Chunk:
                 return False
         return True
 
-    def _exact(self, start: np.ndarray, size: np.ndarray, minimizer: np.ndarray) -> np.ndarray:
+    def _exact(self, start: np.ndarray, size: np.ndarray, minimizer: np.ndarray, digit: np.ndarray) -> np.ndarray:
         """Numbers of equal strings by their bytes, where hashes have collided."""
         raw, seen = self.data.tobytes(), {}
-        return np.array([seen.setdefault((m, raw[s : s + n]), len(seen)) for s, n, m in zip(start.tolist(), size.tolist(), minimizer.tolist(), strict=True)])
+        return np.array([seen.setdefault((m, d, raw[s : s + n]), len(seen)) for s, n, m, d in zip(start.tolist(), size.tolist(), minimizer.tolist(), digit.tolist(), strict=True)])
 
-    def sent(self, parts: int, live: dict[int, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    def sent(self, parts: int, live: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         """(partition, body): the distinct strings with their digit, gram place and smallest document."""
         s = self.strings(parts, live)
         for part, own in _by_part(s, parts):
             size = s["size"][own]
             text = self.data[textbuf.ragged(s["start"][own], size)]
-            ids = self.ids[s["doc"][own]].astype("<i8")
+            ids = self.ids[s["head"][own]].astype("<i8")
             yield part, _body(_five(s["digit"][own]).tobytes(), s["minimizer"][own].tobytes(), size.astype(np.uint8).tobytes(), ids.tobytes(), text.tobytes())
 
-    def covered(self, parts: int, live: dict[int, np.ndarray], answers: dict[int, bytes]) -> np.ndarray:
+    def covered(self, parts: int, live: dict[int, bytes], answers: dict[int, bytes]) -> np.ndarray:
         """Which bytes lie in a window that also starts in a smaller document."""
         s = self.strings(parts, live)
         smaller = np.zeros(len(s["once"]), np.uint64)  # by string: a bit per window
@@ -218,8 +284,7 @@ class Chunk:
             if part in answers:
                 at, bits = _parts(answers[part])
                 smaller[s["number"][own][np.frombuffer(at, "<u4")]] = np.frombuffer(bits, "<u8")
-        head = self.ids[s["doc"][s["once"]]][s["number"]]
-        repeated = self.ids[s["doc"]] > head
+        repeated = self.ids[s["doc"]] > self.ids[s["head"]]
         step = np.zeros(len(self.data) + 1, np.int8)  # windows start but once at a place, and 50 or so overlap at most
         for lo in range(0, len(s["start"]), 20_000):
             own = slice(lo, lo + 20_000)
@@ -244,27 +309,29 @@ def _by_part(s: dict, parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[lo]), once[lo:hi]
 
 
-def alive(bodies: list[tuple[int, bytes]]) -> list[tuple[int, np.ndarray]]:
-    """Of the minimizers that chunks announced to one partition, per chunk those that two documents hold."""
-    digits, several, chunk = [], [], []
+def alive(bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Of the minimizers that chunks announced to one partition, per chunk those that two documents hold, and which of them are hot."""
+    digits, several, bits, chunk = [], [], [], []
     for c, body in bodies:
-        raw, flags = _parts(body)
+        raw, flags, length = _parts(body)
         digits.append(_from_five(np.frombuffer(raw, np.uint8)))
         several.append(_flags(flags, len(digits[-1])))
+        bits.append(np.frombuffer(length, np.uint8))
         chunk.append(np.full(len(digits[-1]), c, np.int32))
-    digit, many, owner = np.concatenate(digits), np.concatenate(several), np.concatenate(chunk)
+    digit, many, length, owner = (np.concatenate(x) for x in (digits, several, bits, chunk))
     order = np.argsort(digit, kind="stable")
-    digit, many, owner = digit[order], many[order], owner[order]
+    digit, many, length, owner = digit[order], many[order], length[order], owner[order]
     first = np.flatnonzero(np.append(True, digit[1:] != digit[:-1]))
     count = np.diff(np.append(first, len(digit)))
     live = np.repeat((count > 1) | np.logical_or.reduceat(many, first), count)
-    digit, owner = digit[live], owner[live]
+    hot = np.repeat(np.add.reduceat(np.int64(1) << (length.astype(np.int64) - 1), first) > MOST_STRINGS, count)
+    digit, hot, owner = digit[live], hot[live], owner[live]
     order = np.argsort(owner, kind="stable")
-    digit, owner = digit[order], owner[order]
+    digit, hot, owner = digit[order], hot[order], owner[order]
     if not len(owner):
         return []
     bounds = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return [(int(owner[lo]), digit[lo:hi]) for lo, hi in zip(bounds, np.append(bounds[1:], len(owner)), strict=True)]
+    return [(int(owner[lo]), _body(_five(digit[lo:hi]).tobytes(), _bits(hot[lo:hi]))) for lo, hi in zip(bounds, np.append(bounds[1:], len(owner)), strict=True)]
 
 
 def radix_groups(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int) -> np.ndarray:
@@ -376,19 +443,23 @@ def spans(docs: DataFrame, make, schema, length: int = 50, keep: tuple[str, ...]
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
     chunks = dealt.repartition(parts, "chunk")
 
+    def freed(table: pa.Table) -> pa.Table:
+        textbuf.release()
+        return table
+
     def announce(key, table):
-        return _table([(to, key[0].as_py(), body) for to, body in Chunk(table, length).announced(parts)], _MESSAGE)
+        return freed(_table([(to, key[0].as_py(), body) for to, body in Chunk(table, length).announced(parts)], _MESSAGE))
 
     def live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, bodies in _gathered(batches):
-            yield from _table([(c, 0, to, _five(d).tobytes()) for c, d in alive(bodies)], _ANSWER).to_batches()
+            yield from _table([(c, 0, to, body) for c, body in alive(bodies)], _ANSWER).to_batches()
 
-    def back(answers: pa.Table) -> tuple[dict[int, np.ndarray], dict[int, bytes]]:
+    def back(answers: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
         rows = answers.to_pylist()
-        return {r["to"]: _from_five(np.frombuffer(r["body"], np.uint8)) for r in rows if not r["kind"]}, {r["to"]: r["body"] for r in rows if r["kind"]}
+        return {r["to"]: r["body"] for r in rows if not r["kind"]}, {r["to"]: r["body"] for r in rows if r["kind"]}
 
     def send(key, table, answers):
-        return _table([(to, key[0].as_py(), body) for to, body in Chunk(table, length).sent(parts, back(answers)[0])] if len(table) and len(answers) else [], _MESSAGE)
+        return freed(_table([(to, key[0].as_py(), body) for to, body in Chunk(table, length).sent(parts, back(answers)[0])] if len(table) and len(answers) else [], _MESSAGE))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, bodies in _gathered(batches):
@@ -397,13 +468,13 @@ def spans(docs: DataFrame, make, schema, length: int = 50, keep: tuple[str, ...]
     def finish(key, table, answers):
         chunk = Chunk(table, length)
         found, judgements = back(answers)
-        return make(chunk, chunk.covered(parts, found, judgements) if found else np.zeros(len(chunk.data), bool))
+        return freed(make(chunk, chunk.covered(parts, found, judgements) if found else np.zeros(len(chunk.data), bool)))
 
     message, answer = MESSAGES, ANSWERS
     said = chunks.groupBy("chunk").applyInArrow(announce, message)
-    alive_ = said.repartition(parts, "to").sortWithinPartitions("to", "chunk").mapInArrow(live, answer)
+    alive_ = said.repartition(parts, "to").sortWithinPartitions("to", "chunk").mapInArrow(textbuf.lean(live), answer)
     strings = chunks.groupBy("chunk").cogroup(alive_.groupBy("chunk")).applyInArrow(send, message)
-    hits = strings.repartition(parts, "to").sortWithinPartitions("to", "chunk").mapInArrow(judge, answer)
+    hits = strings.repartition(parts, "to").sortWithinPartitions("to", "chunk").mapInArrow(textbuf.lean(judge), answer)
     return chunks.groupBy("chunk").cogroup(alive_.union(hits).groupBy("chunk")).applyInArrow(finish, schema)
 
 

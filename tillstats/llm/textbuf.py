@@ -7,7 +7,10 @@ their bounds (``len(offs) == n_docs + 1``). Null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +20,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = (1 << 20) - 1
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_rng = np.random.default_rng(20240229)
-#: A random word for each byte value; the polynomial hash adds these up.
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLE_FOLDED = _TABLE.copy()
-_TABLE_FOLDED[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A") : ord("Z") + 1] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,28 +31,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; odd numbers have inverses."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, np.uint64(base))
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+@cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-class SpanHash:
-    """64-bit hashes of any spans of a buffer after one pass over it."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker returns freed memory to the system, so that idle workers don't keep it from the next stage."""
 
-    def __init__(self, data: np.ndarray, fold_case: bool = False):
-        up, self._down = _power_tables(len(data) + 1)
-        self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_TABLE_FOLDED if fold_case else _TABLE)[data] * up[: len(data)], out=self._sums[1:])
+    def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (self._sums[ends] - self._sums[starts]) * self._down[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * _M2)
+    return then_release
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,28 +104,66 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 WORD_SEPARATOR = np.zeros(256, bool)
 WORD_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * _M1) | np.uint64(1)
+_KEY = b"word shingles"
+
+
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive strings of the given lengths as an Arrow array over ``data``."""
+    bounds = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=bounds[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each string the number of its value, equal by its bytes, and the distinct values."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def words(data: np.ndarray, offs: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Number of each word's value, the distinct words, and how many words each document has."""
+    starts, ends, doc = spans(data, offs, WORD_SEPARATOR)
+    inner = data[~WORD_SEPARATOR[data]]
+    number, distinct = numbered(strings(_FOLDED[inner] if fold_case else inner, ends - starts))
+    return number, distinct, np.bincount(doc, minlength=len(offs) - 1)
+
+
+def keyed(distinct: pa.Array) -> np.ndarray:
+    """64 bits of a keyed cryptographic digest of each string."""
+    raw = b"".join([hashlib.blake2b(w, digest_size=8, key=_KEY).digest() for w in distinct.to_pylist()])
+    return np.frombuffer(raw, "<u8").astype(np.uint64)
+
+
+def normalised(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Each document's words in lower case (A-Z), one blank after each."""
+    starts, ends, doc = spans(data, offs, WORD_SEPARATOR)
+    size = ends - starts + 1
+    raw = np.full(int(size.sum()), 0x20, np.uint8)
+    raw[ragged(np.cumsum(size) - size, size - 1)] = _FOLDED[data[~WORD_SEPARATOR[data]]]
+    upto = np.append(0, np.cumsum(np.bincount(doc, size, len(offs) - 1).astype(np.int64))).tolist()
+    whole = raw.tobytes()
+    return [whole[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = 5, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes of each document's word shingles, and their bounds.
+def shingle_sets(data: np.ndarray, offs: np.ndarray, words_: int = 5, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct 64-bit hashes of each document's word shingles, and their bounds.
 
-    With fewer words than ``words`` the whole sequence is the one shingle;
-    without words the set is empty.
+    With fewer words than ``words_`` the whole sequence is the one shingle; without words the set is empty. A word
+    counts by a keyed digest of its bytes, so texts can't be made to collide; who needs equality compares the words.
     """
     n = len(offs) - 1
-    starts, ends, doc = spans(data, offs, WORD_SEPARATOR)
-    hashed = SpanHash(data, fold_case)(starts, ends)
-    count = np.bincount(doc, minlength=n)
+    if n == 1 and len(data) > 2 * SLICE_BYTES:
+        return _long_set(data, words_, fold_case)
+    number, distinct, count = words(data, offs, fold_case)
+    hashed = keyed(distinct)[number]
     begin = np.cumsum(count) - count
-    k = min(words, 64)
-    parts = np.zeros(max(0, len(hashed) - k + 1), np.uint64)
-    for j in range(k):
-        parts += hashed[j : j + len(parts)] * _STEPS[j]
+    k = min(words_, 64)
+    parts = _combined(hashed, k)
     whole = np.flatnonzero(count >= k)
     made = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     out = np.zeros(int(made.sum()), np.uint64)
     at = np.cumsum(made) - made
-    out[ragged(at[whole], made[whole])] = mix(parts[ragged(begin[whole], made[whole])])
+    out[ragged(at[whole], made[whole])] = parts[ragged(begin[whole], made[whole])]
     for d in np.flatnonzero((count > 0) & (count < k)):
         m = int(count[d])
         short = (hashed[begin[d] : begin[d] + m] * _STEPS[:m]).sum(dtype=np.uint64, keepdims=True)
@@ -145,3 +178,35 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = 5, fold_case:
     keep[at[made > 0]] = True
     upto = np.append(0, np.cumsum(keep))
     return out[keep], upto[bounds]
+
+
+def _combined(hashed: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of ``k`` neighbouring words."""
+    parts = np.zeros(max(0, len(hashed) - k + 1), np.uint64)
+    for j in range(k):
+        parts += hashed[j : j + len(parts)] * _STEPS[j]
+    return mix(parts)
+
+
+def _long_set(data: np.ndarray, words_: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of one long text, read in parts that end between words."""
+    k = min(words_, 64)
+    carried, found, lo = np.zeros(0, np.uint64), [], 0
+    while lo < len(data):
+        hi = min(len(data), lo + SLICE_BYTES)
+        while hi < len(data) and not WORD_SEPARATOR[data[hi]]:
+            ahead = np.flatnonzero(WORD_SEPARATOR[data[hi : hi + 4096]])
+            hi = hi + int(ahead[0]) if len(ahead) else min(len(data), hi + 4096)
+        number, distinct, _ = words(data[lo:hi], np.array([0, hi - lo]), fold_case)
+        carried = np.append(carried, keyed(distinct)[number])
+        if len(carried) >= k:
+            found.append(np.unique(_combined(carried, k)))
+            carried = carried[len(carried) - k + 1 :]
+        lo = hi
+    if found:
+        out = np.unique(np.concatenate(found))
+    elif len(carried):
+        out = mix((carried * _STEPS[: len(carried)]).sum(dtype=np.uint64, keepdims=True) + np.full(1, len(carried), np.uint64) * _M2)
+    else:
+        out = carried
+    return out, np.array([0, len(out)])

@@ -21,6 +21,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A, 0x0D, 0x09]] = True
 
 
+def _chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, doc = textbuf.spans(data, offs, _BLANK)
+    return data[~_BLANK[data]], ends - starts, np.bincount(doc, minlength=len(offs) - 1)
+
+
 @cache
 def coder(path: str) -> ChunkEncoder:
     """The worker's encoder for one tokenizer file."""
@@ -32,7 +37,7 @@ def coder(path: str) -> ChunkEncoder:
     tokenizer = Tokenizer.from_file(path)
     return ChunkEncoder(
         lambda texts: [e.ids for k in range(0, len(texts), 20_000) for e in tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)],
-        lambda data, offs: textbuf.spans(data, offs, _BLANK),
+        _chunks,
     )
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textbuf
 from .url_filter import isotonic
 
 #: Labelled rows that a model learns from at most.
@@ -175,7 +175,7 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
         yield told()
 
     schema = "term string, " + ", ".join(f"{n} long" for n in names)
-    counted = common.cut(rows.select("text", "toxic", "part").mapInArrow(count, schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)))
+    counted = common.cut(rows.select("text", "toxic", "part").mapInArrow(textbuf.lean(count), schema).groupBy("term").agg(*(F.sum(n).alias(n) for n in names)))
     total = counted.where("term = ''").first()
     out = []
     for left_out in range(PARTS + 1):
@@ -205,7 +205,7 @@ def featured(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
                 x = [features(t, own[k]) for t, k in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    return rows.select("doc_id", "toxic", "text", "part").mapInArrow(run, "doc_id long, toxic int, x array<double>")
+    return rows.select("doc_id", "toxic", "text", "part").mapInArrow(textbuf.lean(run), "doc_id long, toxic int, x array<double>")
 
 
 class Boosted:
@@ -323,7 +323,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 x = np.array([features(t, lexicon) for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(trees.predict(x))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(textbuf.lean(run), "doc_id long, score double")
     return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -344,4 +344,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 x = np.array([features(t, lexicon) for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array(trees.predict(x) < THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(textbuf.lean(run), schema)

@@ -121,7 +121,7 @@ def grams(rows: DataFrame) -> DataFrame:
                     allowed = np.bincount(each[~kind], minlength=len(keys))
                     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(allowed), pa.array(blocked)], names=["key", "allowed", "blocked"])
 
-    found = rows.select("text", "verdict").mapInArrow(count, "key long, allowed long, blocked long")
+    found = rows.select("text", "verdict").mapInArrow(textbuf.lean(count), "key long, allowed long, blocked long")
     return found.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
 
 
@@ -157,7 +157,7 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
                 found = _scores(part.column(part.schema.names.index("text")), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, "score"])
 
-    return rows.mapInArrow(run, rows.withColumn("score", F.lit(0.0)).schema)
+    return rows.mapInArrow(textbuf.lean(run), rows.withColumn("score", F.lit(0.0)).schema)
 
 
 def calibrate(rows: DataFrame, models: Models) -> np.ndarray:
