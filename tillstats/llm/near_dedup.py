@@ -303,7 +303,8 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     placed = buckets.select("band", "rep").join(first, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_ = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band")
     groups = common.cut(placed.join(open_, "band", "left_semi").select("rep", "comp").distinct())
-    more = _verified(_hopeful(_prefix_pairs(texts, groups, words), reps), texts, words)
+    # written first: one Python worker a task, not one for this and one for what follows
+    more = common.cut(_verified(_hopeful(_prefix_pairs(texts, groups, words), reps), texts, words))
 
     whole = graph.components(found.union(more).union(same))
     placed = reps.select("rep", "doc_id").join(whole, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("comp"))

@@ -33,15 +33,62 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 @dataclass(frozen=True)
 class Capacities:
-    """What a bin holds at most; None leaves a dimension out."""
+    """What a bin holds at most; None leaves a dimension out. ``weights`` say how much each dimension's room counts in a bin's score."""
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
 
 
 #: A training sequence. Neither further capacity can refuse what 2048 tokens admit, but both weigh in the choice of a bin.
-SEQUENCE = Capacities(tokens=2048, documents=2048, attention=2048**2)
+SEQUENCE = Capacities(tokens=2048, documents=2048, attention=2048**2, weights=(1.0, 0.25, 0.5))
+
+
+class _Bins:
+    """Open bins by what is left in them: a row of ``left`` for each state, and the ranges [first bin, bins, offset] in it."""
+
+    def __init__(self, dims: int):
+        self.left, self.size = np.full((1024, dims), -1.0), 0
+        self.ranges: list[list[list[int]]] = []
+        self.row: dict[tuple[float, ...], int] = {}
+        self.free: list[int] = []
+
+    def add(self, left: np.ndarray, found: list[int]) -> None:
+        key = tuple(left.tolist())
+        at = self.row.get(key)
+        if at is None:
+            if self.free:
+                at = self.free.pop()
+            else:
+                at, self.size = self.size, self.size + 1
+                self.ranges.append([])
+                if self.size > len(self.left):
+                    self.left = np.concatenate([self.left, np.full_like(self.left, -1.0)])
+            self.row[key], self.left[at] = at, left
+        self.ranges[at].append(found)
+
+    def take(self, at: int, most: int) -> tuple[int, int, int, np.ndarray]:
+        """Up to ``most`` bins of a state: first, bins, offset, what was left in them."""
+        left, ranges = self.left[at].copy(), self.ranges[at]
+        first, n, offset = ranges.pop()
+        if n > most:
+            ranges.append([first + most, n - most, offset])
+        if not ranges:
+            del self.row[tuple(left.tolist())]
+            self.left[at] = -1.0  # fits nothing
+            self.free.append(at)
+        return first, min(n, most), offset, left
+
+    def best(self, need: np.ndarray, weight: np.ndarray, score: str) -> int | None:
+        """The state with room for ``need`` that scores best, the first of equals."""
+        states = self.left[: self.size]
+        fits = np.flatnonzero((states >= need).all(axis=1))
+        if not len(fits):
+            return None
+        room = states[fits]
+        # weight holds w / cap^2: squares of relative room, or products of relative room and demand
+        return int(fits[((room - need) ** 2 @ weight).argmin() if score == "norm" else (room * need @ weight).argmax()])
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacities: Capacities = Capacities(), score: str = "norm") -> dict[str, np.ndarray]:
@@ -49,46 +96,31 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacities: Capacities = Capac
 
     ``score`` picks the bin: ``norm`` takes the smallest weighted norm of what is
     left after placing, ``dot`` the largest weighted dot product of demand and
-    room. Only bins with room in every dimension are candidates; a new bin opens if none has.
+    room, both as shares of the capacities. Only bins with room in every dimension are candidates; a new bin opens if none has.
     """
-    cap = np.array([capacities.tokens, capacities.documents or np.inf, capacities.attention or np.inf], float)
     if score not in ("norm", "dot"):
         raise ValueError(f"unknown score {score!r}")
-    used_dims = np.isfinite(cap)
-    scale = np.where(used_dims, 1 / cap, 0)
-    room: dict[tuple[float, ...], list[list[int]]] = {}  # what is left -> ranges [first bin, bins, offset]
-    events: list[tuple[int, int, int, int, int]] = []
-    bins = 0
+    limits = (capacities.tokens, capacities.documents, capacities.attention)
+    used = [k for k, c in enumerate(limits) if c]
+    cap = np.array([limits[k] for k in used], float)
+    weight = np.array([capacities.weights[k] for k in used]) / cap**2
+    open_, events, bins = _Bins(len(used)), [], 0
     for length, count in sorted(zip(map(int, lengths), map(int, counts), strict=True), reverse=True):
-        need = np.array([length, 1.0, float(length) ** 2])
+        need = np.array([length, 1.0, float(length) ** 2])[used]
         if (need > cap).any():
             raise ValueError(f"a piece of {length} tokens exceeds a capacity")
         rank = 0
         while count:
-            states = np.array(list(room), float).reshape(-1, 3)
-            fits = np.flatnonzero((states >= need).all(axis=1)) if len(states) else []
-            if len(fits):
-                if score == "norm":
-                    left = (np.where(used_dims, states[fits] - need, 0) * scale) ** 2
-                    best = fits[int(left.sum(axis=1).argmin())]
-                else:
-                    best = fits[int((np.where(used_dims, states[fits], 0) * scale * need * scale).sum(axis=1).argmax())]
-                key = tuple(states[best])
-                ranges = room[key]
-                first, n, offset = ranges.pop()
-                if not ranges:
-                    del room[key]
-                take = min(n, count)
-                if take < n:
-                    room.setdefault(key, []).append([first + take, n - take, offset])
-                state = states[best]
+            at = open_.best(need, weight, score)
+            if at is not None:
+                first, take, offset, left = open_.take(at, count)
             else:
-                each = max(1, min(count, int(min(np.floor(c / d) for c, d in zip(cap, need, strict=True) if np.isfinite(c)))))
-                take, first, offset, state = max(1, count // each), bins, 0, cap
+                each = max(1, min(count, int(np.floor(cap / need).min())))
+                take, first, offset, left = max(1, count // each), bins, 0, cap
                 bins += take
             events.append((length, rank, take, first, offset))
             rank, count = rank + take, count - take
-            room.setdefault(tuple(state - need), []).append([first, take, offset + length])
+            open_.add(left - need, [first, take, offset + length])
     rows = np.array(events, np.int64).reshape(-1, 5)
     return dict(zip(("length", "rank", "pieces", "sequence", "offset"), rows.T, strict=True))
 

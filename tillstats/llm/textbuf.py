@@ -105,6 +105,11 @@ WORD_SEPARATOR = np.zeros(256, bool)
 WORD_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * _M1) | np.uint64(1)
 _KEY = b"word shingles"
+#: SipHash's initial state.
+_SIP = tuple(map(np.uint64, (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)))
+_SIP_KEY = tuple(np.frombuffer(hashlib.blake2b(_KEY, digest_size=16).digest(), "<u8").astype(np.uint64))
+#: Spans of more 8-byte blocks are hashed one by one.
+_MOST_BLOCKS = 32
 
 
 def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -128,34 +133,74 @@ def words(data: np.ndarray, offs: np.ndarray, fold_case: bool = True) -> tuple[n
     return number, distinct, np.bincount(doc, minlength=len(offs) - 1)
 
 
-def keyed(distinct: pa.Array) -> np.ndarray:
-    """64 bits of a keyed cryptographic digest of each string."""
-    raw = b"".join([hashlib.blake2b(w, digest_size=8, key=_KEY).digest() for w in distinct.to_pylist()])
-    return np.frombuffer(raw, "<u8").astype(np.uint64)
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _rounds(v: list[np.ndarray], n: int) -> None:
+    for _ in range(n):
+        a, b, c, d = v
+        a, c = a + b, c + d
+        b, d = _rotated(b, 13) ^ a, _rotated(d, 16) ^ c
+        a, c = _rotated(a, 32) + d, c + b
+        v[:] = a, _rotated(b, 17) ^ c, _rotated(c, 32), _rotated(d, 21) ^ a
+
+
+def keyed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash of each span: SipHash-2-4, worked out for all spans of one number of 8-byte blocks at once."""
+    size = ends - starts
+    out = np.empty(len(size), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words_ = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    blocks = np.minimum(size >> 3, _MOST_BLOCKS)
+    for full in np.unique(blocks).tolist():
+        own = np.flatnonzero(blocks == full)
+        if full == _MOST_BLOCKS:
+            out[own] = [int.from_bytes(hashlib.blake2b(data[s:e].tobytes(), digest_size=8, key=_KEY).digest(), "little") for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+            continue
+        at, n = starts[own], size[own]
+        v = [np.full(len(own), c ^ k) for c, k in zip(_SIP, _SIP_KEY * 2, strict=True)]
+        rest = (n - 8 * full).astype(np.uint64) * np.uint64(8)
+        for block in range(full + 1):
+            m = words_[at + 8 * block]
+            if block == full:
+                m = (m & ((np.uint64(1) << rest) - np.uint64(1))) | (n.astype(np.uint64) << np.uint64(56))
+            v[3] = v[3] ^ m
+            _rounds(v, 2)
+            v[0] = v[0] ^ m
+        v[2] = v[2] ^ np.uint64(0xFF)
+        _rounds(v, 4)
+        out[own] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The keyed hash of each word, and how many words each document has."""
+    starts, ends, doc = spans(data, offs, WORD_SEPARATOR)
+    return keyed(_FOLDED[data] if fold_case else data, starts, ends), np.bincount(doc, minlength=len(offs) - 1)
 
 
 def normalised(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """Each document's words in lower case (A-Z), one blank after each."""
-    starts, ends, doc = spans(data, offs, WORD_SEPARATOR)
-    size = ends - starts + 1
-    raw = np.full(int(size.sum()), 0x20, np.uint8)
-    raw[ragged(np.cumsum(size) - size, size - 1)] = _FOLDED[data[~WORD_SEPARATOR[data]]]
-    upto = np.append(0, np.cumsum(np.bincount(doc, size, len(offs) - 1).astype(np.int64))).tolist()
-    whole = raw.tobytes()
-    return [whole[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    """Each document's words in lower case (A-Z), parted by one blank."""
+    word = ~WORD_SEPARATOR[data]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # the first separator after a word
+    keep[offs[:-1][np.diff(offs) > 0]] &= word[offs[:-1][np.diff(offs) > 0]]
+    raw = np.where(word[keep], _FOLDED[data[keep]], np.uint8(0x20)).tobytes()
+    upto = np.append(0, np.cumsum(keep))[offs].tolist()
+    return [raw[a:b].rstrip(b" ") for a, b in zip(upto[:-1], upto[1:], strict=True)]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, words_: int = 5, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct 64-bit hashes of each document's word shingles, and their bounds.
 
     With fewer words than ``words_`` the whole sequence is the one shingle; without words the set is empty. A word
-    counts by a keyed digest of its bytes, so texts can't be made to collide; who needs equality compares the words.
+    counts by a keyed hash of its bytes, so texts can't be made to collide; who needs equality compares the words.
     """
     n = len(offs) - 1
     if n == 1 and len(data) > 2 * SLICE_BYTES:
         return _long_set(data, words_, fold_case)
-    number, distinct, count = words(data, offs, fold_case)
-    hashed = keyed(distinct)[number]
+    hashed, count = word_hashes(data, offs, fold_case)
     begin = np.cumsum(count) - count
     k = min(words_, 64)
     parts = _combined(hashed, k)
@@ -197,8 +242,7 @@ def _long_set(data: np.ndarray, words_: int, fold_case: bool) -> tuple[np.ndarra
         while hi < len(data) and not WORD_SEPARATOR[data[hi]]:
             ahead = np.flatnonzero(WORD_SEPARATOR[data[hi : hi + 4096]])
             hi = hi + int(ahead[0]) if len(ahead) else min(len(data), hi + 4096)
-        number, distinct, _ = words(data[lo:hi], np.array([0, hi - lo]), fold_case)
-        carried = np.append(carried, keyed(distinct)[number])
+        carried = np.append(carried, word_hashes(data[lo:hi], np.array([0, hi - lo]), fold_case)[0])
         if len(carried) >= k:
             found.append(np.unique(_combined(carried, k)))
             carried = carried[len(carried) - k + 1 :]

@@ -11,7 +11,7 @@ closeness of hits to second-person words, capitals, punctuation, obfuscated and
 Label, language, source and id are no features.
 
 Defined results: a null or empty text has no words and gets the score of such features; labels that are null or contradict
-(the larger counts) are settled per id; without learnable rows of both classes every score is 0. Repeated rows score alike.
+(the larger counts) are settled per id; of rows that repeat a labelled id the least text is learned from; without learnable rows of both classes every score is 0. Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .url_filter import isotonic
 
 #: Labelled rows that a model learns from at most.
 MOST_LABELLED = 40_000
-#: Entries of the learned lexicon at most, the surest first.
-MOST_TERMS = 4_096
+#: Least z value of a term's log-odds, and the toxic texts that must hold it; every term that reaches both is kept.
+SUREST, LEAST_TEXTS = 2.8, 3
 THRESHOLD = 0.3
 #: Terms that a task counts before it hands its sums on.
 MOST_COUNTED = 100_000
@@ -188,8 +188,9 @@ def learn_lexicons(rows: DataFrame) -> list[dict[str, float]]:
         toxic = sum((F.col(f"t{k}") for k in used), F.lit(0))
         other = sum((F.col(f"n{k}") for k in used), F.lit(0)) - toxic
         odds = F.log((toxic + 0.5) / (t + 1)) - F.log((other + 0.5) / (o + 1))
-        found = counted.where((F.col("term") != "") & (toxic >= 3)).select("term", odds.alias("w"), (odds / F.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))).alias("z"))
-        out.append({r["term"]: r["w"] for r in found.where("z >= 2.8").orderBy(F.desc("z"), "term").limit(MOST_TERMS).collect()})
+        found = counted.where((F.col("term") != "") & (toxic >= LEAST_TEXTS)).select("term", odds.alias("w"), (odds / F.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))).alias("z"))
+        # the rows are a bounded sample, and so are their words
+        out.append({r["term"]: r["w"] for r in found.where(F.col("z") >= SUREST).orderBy("term").collect()})
     return out
 
 
@@ -294,8 +295,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], Calibra
     known = known.where(fold(F.col("doc_id")) != 2)
     share = min(1.0, MOST_LABELLED / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    # at most MOST_LABELLED or so narrow rows: bounded, so safe to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # at most MOST_LABELLED or so narrow rows: bounded, so safe to broadcast; of rows that repeat an id the least text is learned from
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     rows = rows.withColumn("part", F.least(fold(F.col("doc_id")), F.lit(PARTS - 1)).cast("int"))
     lexicons = learn_lexicons(rows)
     sample = common.gathered(featured(rows, lexicons))  # bounded by MOST_LABELLED
