@@ -3,7 +3,8 @@
 A tokenizer that never lets a token cross certain boundaries gives for a text
 the ids of its chunks, one after another. Chunks repeat far more than texts do,
 so each is given to the library once per worker and its ids are copied from
-then on by array operations. Chunks are told apart by their bytes, not by hashes.
+then on by array operations. A keyed hash finds a chunk in the memory and its
+bytes, kept there, confirm it; a chunk whose hash another one holds is encoded anew each time.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import numpy as np
 
 from . import textbuf
 
-#: Chunks remembered by one worker before it starts anew, and the bytes of those worth remembering.
-MOST_CHUNKS, MOST_BYTES = 250_000, 256
+#: Chunks remembered by one worker before it starts anew (some 50 bytes each), and the bytes of those worth remembering.
+MOST_CHUNKS, MOST_BYTES = 1_000_000, 128
 
 
 class ChunkEncoder:
@@ -23,20 +24,38 @@ class ChunkEncoder:
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], split: Callable, most: int = MOST_CHUNKS):
         self._encode_many, self._split, self._most = encode_many, split, most
-        self._known: dict[bytes, np.ndarray] = {}
-
-    def _learned(self, chunks: list[bytes]) -> list[np.ndarray]:
-        known = self._known
-        found = [known.get(c) for c in chunks]
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if new:
-            if len(known) + len(new) > self._most:
-                known.clear()
-            for i, ids in zip(new, self._encode_many([chunks[i].decode("utf-8", "replace") for i in new]), strict=True):
-                found[i] = ids = np.array(ids, np.uint32)
-                if len(chunks[i]) <= MOST_BYTES and len(known) < self._most:
-                    known[chunks[i]] = ids
-        return found
+        self._forget()
+
+    def _forget(self) -> None:
+        self._keys = np.zeros(0, np.uint64)  # ascending; the other columns follow it
+        self._place, self._size, self._at, self._count = (np.zeros(0, np.int32) for _ in range(4))
+        self._bytes, self._ids = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def _found(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk's key lies in the memory, and whether the chunk there is the same."""
+        at = np.searchsorted(self._keys, keys)
+        same = at < len(self._keys)
+        same[same] = (self._keys[at[same]] == keys[same]) & (self._size[at[same]] == size[same])
+        own = np.flatnonzero(same)
+        if len(own):
+            n = size[own]
+            equal = raw[textbuf.ragged(starts[own], n)] == self._bytes[textbuf.ragged(self._place[at[own]].astype(np.int64), n)]
+            same[own] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        return at, same
+
+    def _remember(self, keys: np.ndarray, raw: np.ndarray, starts: np.ndarray, size: np.ndarray, ids: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        _, first = np.unique(keys, return_index=True)
+        first = first[size[first] <= MOST_BYTES]
+        place = np.searchsorted(self._keys, keys[first])
+        free = place == len(self._keys)
+        free[~free] = self._keys[place[~free]] != keys[first[~free]]
+        first, place = first[free], place[free]
+        n, c = size[first], count[first]
+        self._place = np.insert(self._place, place, np.cumsum(n) - n + len(self._bytes))
+        self._at = np.insert(self._at, place, np.cumsum(c) - c + len(self._ids))
+        self._keys, self._size, self._count = np.insert(self._keys, place, keys[first]), np.insert(self._size, place, n), np.insert(self._count, place, c)
+        self._bytes = np.concatenate([self._bytes, raw[textbuf.ragged(starts[first], n)]])
+        self._ids = np.concatenate([self._ids, ids[textbuf.ragged(at[first], c)]])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice as uint32, and each document's bounds."""
@@ -44,10 +63,22 @@ class ChunkEncoder:
         if not len(lengths):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         number, distinct = textbuf.numbered(textbuf.strings(raw, lengths))
-        found = self._learned(distinct.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        pool, at = np.concatenate(found), np.cumsum(size) - size
-        count = size[number]
-        ids = pool[textbuf.ragged(at[number], count)]
-        upto = np.append(0, np.cumsum(count))
-        return ids, upto[np.append(0, np.cumsum(chunks))]
+        raw, bounds = textbuf.buffer_of(distinct)
+        starts, size = bounds[:-1], np.diff(bounds)
+        keys = textbuf.keyed(raw, starts, bounds[1:])
+        place, known = self._found(keys, raw, starts, size)
+        new = np.flatnonzero(~known)
+        pool, at, count = self._ids, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[known], count[known] = self._at[place[known]], self._count[place[known]]
+        if len(new):
+            whole = raw.tobytes()
+            ids = self._encode_many([whole[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), bounds[1:][new].tolist(), strict=True)])
+            count[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+            fresh = np.fromiter((i for row in ids for i in row), np.uint32, int(count[new].sum()))
+            own = np.cumsum(count[new]) - count[new]
+            at[new], pool = own + len(pool), np.concatenate([pool, fresh])
+            if len(self._keys) + len(new) > self._most or len(self._ids) > 8 * self._most:
+                self._forget()
+            self._remember(keys[new], raw, starts[new], size[new], fresh, own, count[new])
+        count = count[number]
+        return pool[textbuf.ragged(at[number], count)], np.append(0, np.cumsum(count))[np.append(0, np.cumsum(chunks))]
