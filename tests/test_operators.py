@@ -82,7 +82,7 @@ def test_standardize(spark):
     df = frame(spark, "X double, Y double", [(x, 5.0) for x in (10.0, 20.0, 30.0, 40.0, 50.0)])
     out, p = features.standardize(df, ["X", "Y", "Z"])
     z = [r["X_STD"] for r in out.collect()]
-    assert "Y_STD" not in out.columns and p.stds["Y"] == 0.0 and np.mean(z) == pytest.approx(0) and np.std(z, ddof=1) == pytest.approx(1)
+    assert "Y_STD" not in out.columns and p["Y"][1] == 0.0 and np.mean(z) == pytest.approx(0) and np.std(z, ddof=1) == pytest.approx(1)
 
 
 # groups
@@ -317,33 +317,56 @@ def test_clusters(spark):
     table = segments.elbow_and_silhouette(points, (2, 3, 4), n_init=2)
     found = {r["k"]: r for r in table.collect()}
     assert segments.select_k(table) == 3 and found[2]["inertia"] > found[3]["inertia"] and all(-1 <= r["silhouette_score"] <= 1 for r in found.values())
-    profile = segments.cluster_profile(segments.best_kmeans(points, 3, n_init=1).transform(points), ["f1", "f2"]).collect()
+    profile = segments.cluster_profile(segments.fit_all(points, [3], n_init=2)[3].transform(points), ["f1", "f2"]).collect()
     assert sum(r["n_clientes"] for r in profile) == 90
     with pytest.raises(ValueError):
         segments.elbow_and_silhouette(points, (1, 2))
     points.unpersist()
 
 
+def test_kmeans_is_a_fixed_point(spark):
+    """Each k's centres are the means of the points nearest to them, the inertia is theirs, and more starts never do worse."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.4, (60, 2)) for c in ((0, 0), (4, 0), (0, 4), (5, 5))])
+    points = segments.standardized(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, f1 double, f2 double"), ["f1", "f2"]).persist()
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    few, many = segments.fit_all(points, range(2, 8), n_init=1), segments.fit_all(points, range(2, 8), n_init=10)
+    for k, found in many.items():
+        own = found.nearest(z)
+        assert len(found.at) == k and found.inertia == pytest.approx(((z - found.at[own]) ** 2).sum()) and found.inertia <= few[k].inertia + 1e-9
+        assert np.allclose(found.at, [z[own == c].mean(axis=0) for c in range(k)], atol=0.05)
+        assert [r[0] for r in found.transform(points).orderBy("id").select("cluster").collect()] == own.tolist()
+    assert many[4].inertia < 30
+    points.unpersist()
+
+
+def test_sampled_points_keep_the_shares_of_equal_ones(spark):
+    rows = [(f"C{i}-{v}", float(v), 0.0) for v, n in ((0, 6_000), (1, 3_000), (2, 1_000)) for i in range(n)]
+    points = segments.standardized(spark.createDataFrame(rows, "id string, f1 double, f2 double"), ["f1", "f2"])
+    x = segments._points(points, 1_000, 42)
+    assert len(x) == 1_000 and np.unique(x[:, 0], return_counts=True)[1] == pytest.approx([600, 300, 100], rel=0.25)
+
+
 @pytest.mark.parametrize("name", ["kmeans_elbow", "cluster_profile"])
 def test_registered_clusters_try_every_k_and_start(spark, monkeypatch, name):
     from tillstats.plans import queries
 
-    fit, calls = segments.best_kmeans, []
+    fit, calls = segments.fit_all, []
 
-    def noted(points, k, seed=42, n_init=10):
-        calls.append((k, n_init))
-        return fit(points, k, seed, 1)
+    def noted(points, ks, seed=42, n_init=10, **more):
+        calls.append((list(ks), n_init))
+        return fit(points, ks, seed, n_init, **more)
 
     rows = [(f"C{i}", float(v), int(u)) for i, (v, u) in enumerate(zip(rng.normal(100, 30, 120), rng.integers(1, 50, 120), strict=True))]
     df = frame(spark, "CODIGO_CLIENTE string, MONTO_APLICADO double, UNIDADES long", rows)
-    monkeypatch.setattr(segments, "best_kmeans", noted)
+    monkeypatch.setattr(segments, "fit_all", noted)
     monkeypatch.setattr(queries, "sales", lambda *_: df)
     found = queries.QUERIES[name](spark, "").collect()
-    assert calls[:6] == [(k, 10) for k in range(2, 8)]
+    assert calls == [(list(range(2, 8)), 10)]
     if name == "kmeans_elbow":
         assert [r["k"] for r in found] == list(range(2, 8))
     else:
-        assert len(calls) == 7 and calls[6] == (len(found), 10) and sum(r["n_clientes"] for r in found) == 120
+        assert sum(r["n_clientes"] for r in found) == 120
 
 
 def test_silhouette_against_brute_force():

@@ -41,20 +41,26 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def chi_square_statistic(df: DataFrame, a: str, b: str) -> DataFrame:
     """(statistic, dof, n): Pearson's statistic, with Yates' correction at one degree of freedom.
 
-    Empty cells need not exist: the sum of (o - e)^2 / e is the sum of o^2 / e, less n.
+    Empty cells need not exist: the sum of (o - e)^2 / e is the sum of o^2 / e, less n. At one degree of freedom one cell and the
+    margins say everything, since all four cells are equally far from what is expected.
     """
     cells = contingency(df, a, b)
     rows, columns = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
-    total = cells.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"))
     joined = cells.join(rows, "a").join(columns, "b").agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb")).cast("double")).alias("s"))
-    # at one degree of freedom there are four cells, some maybe empty
-    grid = rows.crossJoin(columns).join(cells, ["a", "b"], "left").crossJoin(total.select("n", F.col("na").alias("ka"), F.col("nb").alias("kb"))).where("ka = 2 and kb = 2")
-    e = F.col("ra") * F.col("cb") / F.col("n").cast("double")
-    gap = F.abs(F.coalesce(F.col("o"), F.lit(0)) - e)
-    yates = grid.agg(F.sum((gap - F.least(F.lit(0.5), gap)) ** 2 / e).alias("y"))
+    total = cells.agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"), F.min("a").alias("a0"), F.min("b").alias("b0"))
+    first_row, first_column = F.col("a") == F.col("a0"), F.col("b") == F.col("b0")
+    corner = cells.crossJoin(F.broadcast(total.select("a0", "b0"))).agg(
+        *(F.coalesce(F.sum(F.when(c, F.col("o"))), F.lit(0)).cast("double").alias(k) for k, c in (("o", first_row & first_column), ("r", first_row), ("c", first_column)))
+    )
+    n = F.col("n").cast("double")
+    expected = F.col("r") * F.col("c") / n
+    gap = F.abs(F.col("o") - expected)
+    gap = gap - F.least(F.lit(0.5), gap)
+    yates = F.try_divide(gap * gap * n * n * n, F.col("r") * F.col("c") * (n - F.col("r")) * (n - F.col("c")))
     dof = (F.col("na") - 1) * (F.col("nb") - 1)
     plain = F.greatest(F.lit(0.0), F.col("n") * F.col("s") - F.col("n"))
-    return total.crossJoin(joined).crossJoin(yates).select(F.when(dof == 1, F.col("y")).when(dof == 0, F.lit(0.0)).otherwise(plain).alias("statistic"), dof.alias("dof"), "n")
+    single = total.crossJoin(joined).crossJoin(corner)  # one row each
+    return single.select(F.when(dof == 1, yates).when(dof == 0, F.lit(0.0)).otherwise(plain).alias("statistic"), dof.alias("dof"), "n")
 
 
 def chi_square(df: DataFrame, a: str, b: str, alpha: float = contract.ALPHA) -> dict[str, Any]:
@@ -139,12 +145,21 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: Any, b: Any, alternat
     return out | {"p_value": p}
 
 
-def sample(df: DataFrame, value: Column, rows: int, seed: int) -> list[float]:
+def drawn(seed: int, key: Column) -> Column:
+    """What orders rows for sampling: a digest of the seed and the row's key, which any engine can compute."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")).cast("binary"))
+
+
+def sample(df: DataFrame, value: Column, rows: int, seed: int, key: Column | None = None) -> list[float]:
     """At most ``rows`` non-null values, the same ones at every run and partitioning: rows drawn without replacement.
 
-    Places in the order of all values are drawn on the driver; each distinct value is taken as often as
+    With a ``key`` that tells rows apart, the rows of least digest are taken, a bounded heap in each task. Without one,
+    places in the order of all values are drawn on the driver; each distinct value is taken as often as
     its rows hold one, so copies are never expanded and every row has the same chance.
     """
+    if key is not None:
+        keyed = df.select(drawn(seed, key).alias("h"), value.cast("double").alias("v")).where("v is not null")
+        return [r["v"] for r in keyed.orderBy("h", "v").limit(rows).collect()]
     values = df.select(value.cast("double").alias("v")).where("v is not null")
     if values.limit(rows + 1).count() <= rows:
         return [r[0] for r in values.collect()]
@@ -162,10 +177,10 @@ def sample(df: DataFrame, value: Column, rows: int, seed: int) -> list[float]:
     return [r["v"] for r in picked for _ in range(r["times"])]
 
 
-def normality(df: DataFrame, column: str, seed: int = 42, most: int = 5_000) -> dict[str, Any]:
+def normality(df: DataFrame, column: str, seed: int = 42, most: int = 5_000, key: Column | None = None) -> dict[str, Any]:
     """Shapiro-Wilk up to ``most`` values; beyond, Kolmogorov-Smirnov against the sample's own normal on a fixed sample."""
     n = df.where(clean(column).isNotNull()).count()
-    values = sample(df, clean(column), most, seed)
+    values = sample(df, clean(column), most, seed, key)
     if n <= most:
         method, (statistic, p) = "shapiro-wilk", dist.shapiro_wilk(values)
     else:
@@ -183,9 +198,9 @@ def normality(df: DataFrame, column: str, seed: int = 42, most: int = 5_000) ->
     return {"variable": column, "method": method, "statistic": statistic if known else None, "p_value": p if known else None, "n_used": len(values), "is_normal_at_0.05": bool(known and p >= 0.05)}
 
 
-def compare_two_groups(df: DataFrame, value: str, group: str, a: Any, b: Any, alpha: float = contract.ALPHA, seed: int = 42, alternative: str = "two-sided") -> dict[str, Any]:
+def compare_two_groups(df: DataFrame, value: str, group: str, a: Any, b: Any, alpha: float = contract.ALPHA, seed: int = 42, alternative: str = "two-sided", key: Column | None = None) -> dict[str, Any]:
     """Welch's test where both groups look normal, else the rank test; a null p for groups too small to test."""
-    normal = [normality(df.where(F.col(group) == F.lit(x)), value, seed)["is_normal_at_0.05"] for x in (a, b)]
+    normal = [normality(df.where(F.col(group) == F.lit(x)), value, seed, key=key)["is_normal_at_0.05"] for x in (a, b)]
     if all(normal):
         method, found = "welch t", welch(df, value, group, a, b, alternative)
     else:
@@ -220,12 +235,12 @@ def slope_test(df: DataFrame, x: str, y: str, alpha: float = contract.ALPHA) ->
     return out | {"slope": row["slope"], "r_squared": row["r_squared"], "zero_variance": False}
 
 
-def run_all(df: DataFrame, seed: int = 42) -> list[dict[str, Any]]:
+def run_all(df: DataFrame, seed: int = 42, key: Column | None = None) -> list[dict[str, Any]]:
     """The project's four or five hypotheses."""
     c = contract
-    out = [compare_two_groups(df, c.AMOUNT, c.CHANNEL, "APP", "WEB", seed=seed, alternative="greater"), slope_test(df, c.DISCOUNT, c.UNITS)]
+    out = [compare_two_groups(df, c.AMOUNT, c.CHANNEL, "APP", "WEB", seed=seed, alternative="greater", key=key), slope_test(df, c.DISCOUNT, c.UNITS)]
     if c.GENDER in df.columns:
         labels = [r[0] for r in df.select(c.GENDER).where(F.col(c.GENDER).isNotNull()).distinct().orderBy(c.GENDER).limit(2).collect()]
         if len(labels) == 2:
-            out.append(compare_two_groups(df, c.AMOUNT, c.GENDER, *labels, seed=seed))
+            out.append(compare_two_groups(df, c.AMOUNT, c.GENDER, *labels, seed=seed, key=key))
     return [*out, chi_square(df, c.CHANNEL, c.STORE), slope_test(df.where(F.col(c.AGE).isNotNull()), c.AGE, c.AMOUNT)]

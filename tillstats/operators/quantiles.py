@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
@@ -94,3 +94,61 @@ def quantiles_of(df: DataFrame, columns: Sequence[str], shares: Sequence[float])
 
 def quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
     return quantiles_of(df, [column], shares)[column]
+
+
+#: Steps of the sketch that narrows a group's brackets; a step keeps three of them at most.
+GRID = 1_000
+
+
+def grouped_quantiles(rows: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(group, q0, q1, ...): exact quantiles with linear interpolation of each group's non-null values.
+
+    A bracket around the wanted ranks of each group is narrowed by a sketch of fixed size until it holds
+    ``MOST_VALUES`` rows at most; only these meet in one place, as counts of distinct values.
+    """
+    base = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where("g is not null and v is not null")
+    counts = base.groupBy("g").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    places = [F.lit(q) * (F.col("n") - 1) for q in shares]
+    if most <= MOST_VALUES:
+        cells = base.groupBy("g", "v").agg(F.count("*").alias("c")).join(counts, "g").withColumn("j", F.lit(0))
+        below = F.lit(0)
+        wanted = {k: p for k, p in enumerate(places)}
+    else:
+        state = counts.select("g", "n", F.posexplode(F.array(*places)).alias("j", "place"))
+        state = state.select("g", "n", "j", "place", F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi"))
+        while most > MOST_VALUES:
+            before, state = most, _narrowed(base, state)
+            most = base.join(state, "g").where("v between lo and hi").groupBy("g", "j").agg(F.count("*").alias("c"), F.count_if(F.col("lo") < F.col("hi")).alias("open")).agg(F.max(F.least("c", "open"))).first()[0] or 0
+            if most >= before:
+                break
+        inside = base.join(state, "g").where("v <= hi")
+        met = inside.groupBy("g", "n", "j", "place", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+        under = met.where("v is null").select("g", "j", F.col("c").alias("under"))
+        cells = met.where("v is not null").join(under, ["g", "j"], "left")
+        below = F.coalesce("under", F.lit(0))
+        wanted = {k: F.when(F.col("j") == k, F.col("place")) for k in range(len(shares))}
+    upto = Window.partitionBy("g", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.withColumn("upto", F.sum("c").over(upto) + below)
+    first = F.col("upto") - F.col("c")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < F.col("upto")), F.col("v")))
+
+    ends = summed.groupBy("g").agg(*(at(f(p)).alias(f"{name}{k}") for k, p in wanted.items() for name, f in (("a", F.floor), ("b", F.ceil))), *(F.max(p).alias(f"p{k}") for k, p in wanted.items()))
+    between = [(F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * (F.col(f"p{k}") - F.floor(f"p{k}"))).alias(f"q{k}") for k in wanted]
+    return ends.select(F.col("g").alias(group), *between)
+
+
+def _narrowed(base: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` (g, n, j, place, lo, hi) with closer brackets; wide by a step on either side, since the sketch errs by less."""
+    steps = F.lit([k / GRID for k in range(GRID + 1)])
+    met = base.join(state, "g").where("v <= hi")
+    own = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    found = met.groupBy("g", "n", "j", "place", "lo", "hi").agg(F.count_if(F.col("v") < F.col("lo")).alias("under"), F.count(own).alias("c"), F.percentile_approx(own, steps, F.lit(ACCURACY)).alias("p"))
+    low = F.floor((F.floor("place") - F.col("under")) / F.col("c") * GRID).cast("int") - 1
+    high = F.ceil((F.ceil("place") - F.col("under") + 1) / F.col("c") * GRID).cast("int") + 1
+    # beyond the grid's ends the bracket stays as it is
+    lo = F.when(low >= 0, F.try_element_at("p", low + 1)).otherwise(F.col("lo"))
+    hi = F.when(high <= GRID, F.try_element_at("p", F.least(high, F.lit(GRID)) + 1)).otherwise(F.col("hi"))
+    return found.select("g", "n", "j", "place", lo.alias("lo"), hi.alias("hi"))

@@ -11,6 +11,7 @@ from .. import contract as c
 from ..functions import dist
 from ..operators import describe, features, groupstats, inference, quality, regression, segments, timeseries
 from ..operators.quantiles import clean
+from ..sources import shared
 from ..sources.salesview import sales
 
 NUMERIC = (c.AMOUNT, c.UNITS, c.DISCOUNT)
@@ -103,19 +104,20 @@ def describe_numeric(spark, sf_dir):
 
 @query
 def corr_pearson(spark, sf_dir):
-    return describe.correlations(sales(spark, sf_dir), NUMERIC).where("n is not null").select("var_i", "var_j", "n", _r("corr", 8))
+    return describe.correlations(sales(spark, sf_dir), NUMERIC).select("var_i", "var_j", "n", _r("corr", 8), _r("p_value", 8))
 
 
 @query
 def corr_spearman(spark, sf_dir):
-    return describe.correlations(sales(spark, sf_dir), NUMERIC, "spearman").where("n is not null").select("var_i", "var_j", "n", _r("corr", 8))
+    return describe.correlations(sales(spark, sf_dir), NUMERIC, "spearman").select("var_i", "var_j", "n", _r("corr", 8), _r("p_value", 8))
 
 
 @query
 def normality(spark, sf_dir):
     df = sales(spark, sf_dir)
-    rows = [inference.normality(df, x) for x in NUMERIC]
-    return spark.createDataFrame([tuple(r.values()) for r in rows], "variable string, method string, statistic double, p_value double, n_used long, is_normal_at_05 boolean")
+    rows = [inference.normality(df, x, key=F.col("ROW_KEY")) for x in NUMERIC]
+    found = spark.createDataFrame([tuple(r.values()) for r in rows], "variable string, method string, statistic double, p_value double, n_used long, is_normal_at_05 boolean")
+    return found.withColumns({"statistic": _r("statistic", 8), "p_value": _r("p_value", 8)})
 
 
 @query
@@ -132,27 +134,36 @@ def anova_channel(spark, sf_dir):
 
 @query
 def anova_store(spark, sf_dir):
-    return inference.anova_statistic(sales(spark, sf_dir), c.AMOUNT, c.STORE).select(_r("f", 8), "df1", "df2")
+    row = inference.anova_statistic(sales(spark, sf_dir), c.AMOUNT, c.STORE).first()
+    return spark.createDataFrame([(round(row["f"], 8), row["df1"], row["df2"], round(dist.f_sf(row["f"], row["df1"], row["df2"]), 7))], "f double, df1 long, df2 long, p_value double")
 
 
 @query
 def welch_channel(spark, sf_dir):
-    return inference.welch_statistic(sales(spark, sf_dir), c.AMOUNT, c.CHANNEL, "APP", "WEB").select(_r("t", 8), _r("dof", 4), "n_a", "n_b")
+    r = inference.welch(sales(spark, sf_dir), c.AMOUNT, c.CHANNEL, "APP", "WEB")
+    return spark.createDataFrame([(round(r["statistic"], 8), round(r["dof"], 4), r["n_a"], r["n_b"], round(r["p_value"], 8))], "t double, dof double, n_a long, n_b long, p_value double")
+
+
+def _rank_test(spark, df, group, a, b):
+    r = inference.mann_whitney(df, c.AMOUNT, group, a, b)
+    return spark.createDataFrame([(round(r["statistic"], 1), r["n_a"], r["n_b"], round(r["p_value"], 8))], "u double, n_a long, n_b long, p_value double")
 
 
 @query
 def mannwhitney_channel(spark, sf_dir):
-    return inference.rank_sums(sales(spark, sf_dir), c.AMOUNT, c.CHANNEL, "APP", "WEB").select(_r("u", 1), "n_a", "n_b", _r("ties", 1))
+    return _rank_test(spark, sales(spark, sf_dir), c.CHANNEL, "APP", "WEB")
 
 
 @query
 def mcar_probe(spark, sf_dir):
     marked = sales(spark, sf_dir).withColumn("missing", F.col(c.DISCOUNT).isNull())
-    return inference.rank_sums(marked, c.AMOUNT, "missing", True, False).select(_r("u", 1), "n_a", "n_b", _r("ties", 1))
+    return _rank_test(spark, marked, "missing", True, False)
 
 
 def _slope(df, x, y):
-    return inference.slope_statistic(df, x, y).select("n", _r("slope", 8), _r("intercept", 6), _r("r_squared", 10), _r("t", 6))
+    row = inference.slope_statistic(df, x, y).select("n", _r("slope", 8), _r("intercept", 6), _r("r_squared", 10), _r("t", 6)).first()
+    p = inference.slope_test(df, x, y)["p_value"]
+    return df.sparkSession.createDataFrame([(*row, round(p, 8))], "n long, slope double, intercept double, r_squared double, t double, p_value double")
 
 
 @query
@@ -167,7 +178,8 @@ def slope_age_amount(spark, sf_dir):
 
 @query
 def hypotheses(spark, sf_dir):
-    return inference.records(spark, inference.run_all(features.age_at_purchase(sales(spark, sf_dir))))
+    rows = inference.run_all(features.age_at_purchase(sales(spark, sf_dir)), key=F.col("ROW_KEY"))
+    return inference.records(spark, rows).withColumns({"statistic": _r("statistic", 6), "p_value": _r("p_value", 8)})
 
 
 @query
@@ -204,7 +216,17 @@ def acf(spark, sf_dir):
 
 @query
 def pacf(spark, sf_dir):
-    return timeseries.acf_pacf(timeseries.daily_series(sales(spark, sf_dir)))
+    return timeseries.acf_pacf(timeseries.daily_series(sales(spark, sf_dir))).select("lag", *(_r(x, 8) for x in ("acf", "pacf", "band", "band_ref")))
+
+
+@query
+def series_study(spark, sf_dir):
+    """The whole time series study: gap, trimmed series' correlations and the spread of the residuals."""
+    found = timeseries.analyse(sales(spark, sf_dir))
+    parts = found.decomposition.agg(F.count("resid").alias("n"), F.avg(F.col("resid") ** 2).alias("m")).first()
+    rows = [("days", float(found.daily.count())), ("trimmed_days", float(found.gap.trimmed_days)), ("residuals", float(parts["n"])), ("residual_variance", round(parts["m"], 2))]
+    rows += [(f"acf {r['lag']}", round(r["acf"], 8)) for r in found.correlations.where("lag <= 7").collect()]
+    return spark.createDataFrame(rows, "name string, value double")
 
 
 @query
@@ -250,10 +272,24 @@ def reg_metrics(spark, sf_dir):
 @query
 def regression_full(spark, sf_dir):
     _, diagnostics, found = regression.fit_and_diagnose(sales(spark, sf_dir), key=F.col("ROW_KEY"))
-    rows = [*found.items(), *((f"coefficient {k}", v) for k, v in diagnostics.coefficients.items()), *((f"vif {k}", v) for k, v in diagnostics.vif), ("shapiro_p", diagnostics.shapiro_p), ("breusch_pagan_p", diagnostics.breusch_pagan_p)]
+    rows = [*((k, round(v, 4)) for k, v in found.items()), *((f"coefficient {k}", round(v, 4)) for k, v in diagnostics.coefficients.items()), *((f"vif {k}", round(v, 6)) for k, v in diagnostics.vif), ("breusch_pagan_p", round(diagnostics.breusch_pagan_p, 6))]
     return spark.createDataFrame([(k, float(v)) for k, v in rows], "name string, value double")
 
 
+@query
+def residual_normality(spark, sf_dir):
+    """Shapiro-Wilk of 5,000 training residuals: the one figure of the regression that SQL doesn't check."""
+    _, diagnostics, _ = regression.fit_and_diagnose(sales(spark, sf_dir), key=F.col("ROW_KEY"))
+    return spark.createDataFrame([(diagnostics.shapiro_p,)], "shapiro_p double")
+
+
+@query
+def train_test_split(spark, sf_dir):
+    d = regression.design(sales(spark, sf_dir), c.AMOUNT, (c.UNITS, c.DISCOUNT), (), F.col("ROW_KEY"))
+    train, test = regression.split(d.rows)
+    return test.select(F.col("key").alias("ROW_KEY"), F.lit("test").alias("part")).union(train.select("key", F.lit("train")))
+
+
 def _points(spark, sf_dir):
     return segments.standardized(segments.customer_profile(sales(spark, sf_dir)), segments.FEATURES)
 
@@ -272,6 +308,33 @@ def cluster_profile(spark, sf_dir):
     return segments.segment(sales(spark, sf_dir)).profile
 
 
+#: Centres in standard units, for the parts of the clustering that don't depend on a random start.
+_CENTRES = ((-0.8, -0.7), (0.0, 0.8), (1.2, -0.1))
+
+
+def _assigned(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    x = vector_to_array("x")
+    apart = [(x[0] - a) ** 2 + (x[1] - b) ** 2 for a, b in _CENTRES]
+    nearest = F.when((apart[0] <= apart[1]) & (apart[0] <= apart[2]), 0).when(apart[1] <= apart[2], 1).otherwise(2)
+    return _points(spark, sf_dir).withColumns({"cluster": nearest, "d2": F.least(*apart)})
+
+
+@query
+def clusters_of_centres(spark, sf_dir):
+    labelled = _assigned(spark, sf_dir)
+    profile = segments.cluster_profile(labelled, segments.FEATURES)
+    inertia = labelled.groupBy("cluster").agg(F.sum("d2").alias("inertia"))
+    return profile.join(inertia, "cluster").select("cluster", *(_r(x, 6) for x in (*segments.FEATURES, "inertia")), "n_clientes")
+
+
+@query
+def silhouette_of_centres(spark, sf_dir):
+    score = segments.euclidean_silhouette(*segments.sampled(_assigned(spark, sf_dir), 10_000, 42))
+    return spark.createDataFrame([(round(score, 8),)], "silhouette_score double")
+
+
 @query
 def standardized_profile(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
@@ -287,7 +350,7 @@ def hist_bins(spark, sf_dir):
 
 @query
 def density_curve(spark, sf_dir):
-    return describe.density_curve(sales(spark, sf_dir), c.AMOUNT)
+    return describe.density_curve(sales(spark, sf_dir), c.AMOUNT).select(_r("x", 4), _r("density", 12))
 
 
 @query
@@ -313,3 +376,67 @@ def infinite_values(spark, sf_dir):
 
     df = sales(spark, sf_dir).withColumn("x", F.when(F.col(c.RECEIPT) % 500 == 0, F.lit(float("inf"))).otherwise(clean(c.AMOUNT)))
     return spark.createDataFrame(sorted(infinite_counts(df, [*NUMERIC, "x"]).items()), "variable string, n long")
+
+
+@query
+def cleaned_rows(spark, sf_dir):
+    """Imputation and flags together."""
+    df, _ = quality.clean_dataset(_spiked(spark, sf_dir))
+    return df.select("ROW_KEY", _r(c.DISCOUNT, 6), F.col("MONTO_APLICADO_ES_OUTLIER").cast("int").alias("amount_out"), F.col("UNIDADES_ES_OUTLIER").cast("int").alias("units_out"))
+
+
+@query
+def cleaning_report(spark, sf_dir):
+    _, r = quality.clean_dataset(_spiked(spark, sf_dir))
+    rows = [("rows_before", r.rows_before), ("rows_after", r.rows_after)]
+    for part in ("missing", "imputed", "never_imputed", "outliers"):
+        rows += [(f"{part} {k}", v) for k, v in getattr(r, part).items()]
+    rows += [(f"probe {k}", round(v["p_value"], 8)) for k, v in r.missingness_probes.items()]
+    return spark.createDataFrame([(k, float(v)) for k, v in rows], "name string, value double")
+
+
+@query
+def engineered_rows(spark, sf_dir):
+    df, _ = features.engineer(sales(spark, sf_dir))
+    return df.select("ROW_KEY", _r(c.UNIT_PRICE, 9), c.AGE, c.FREQUENCY, *(_r(f"{x}_STD", 6) for x in NUMERIC))
+
+
+@query
+def scaling(spark, sf_dir):
+    _, parameters = features.standardize(sales(spark, sf_dir))
+    return spark.createDataFrame([(k, round(m, 6), round(d, 6)) for k, (m, d) in parameters.items()], "variable string, mean double, std double")
+
+
+def _as_file(spark, sf_dir, folder):
+    """The sales as a delimited file with the raw header, whose birth dates are partly no dates and one line too long."""
+    df = sales(spark, sf_dir).withColumns({"RUN_CLIENTE": F.lit("x;y"), "NOMBRES": F.lit('a "b"'), "APELLIDOS": F.lit(None).cast("string")})
+    born = F.when(F.col(c.CUSTOMER) % 7 == 0, F.lit("no date")).otherwise(F.date_format(c.BIRTH, c.BIRTH_FORMAT))
+    raw = [(born if name == c.BIRTH else F.col(name)).alias(header) for header, name, _ in c.CONTRACT]
+    df.select(*raw).write.mode("overwrite").csv(folder, sep=c.SEPARATOR, quote=c.QUOTE, escape=c.QUOTE, header=True)
+    return folder
+
+
+@query
+def csv_scan(spark, sf_dir):
+    from ..sources import csv
+
+    df = csv.load(spark, _as_file(spark, sf_dir, shared.new_folder(spark, "sales")))
+    return df.groupBy(c.CHANNEL).agg(
+        F.count("*").alias("n"), F.count(c.DISCOUNT).alias("discounts"), F.count(c.BIRTH).alias("births"), F.min(c.BIRTH).alias("first_birth"), _r(F.sum(c.AMOUNT), 3, "total"),
+        F.sum(c.UNITS).alias("units"), F.countDistinct(c.CUSTOMER).alias("customers"), F.max(c.DATE).alias("last"), F.min("RUN_CLIENTE").alias("run"), F.min("NOMBRES").alias("name"),
+    )
+
+
+@query
+def saved_table(spark, sf_dir):
+    """A table written by a sink and read again."""
+    from ..sources import sinks
+
+    path = sinks.save_table(groupstats.group_stats(sales(spark, sf_dir)), "stores", shared.new_folder(spark, "tables"))
+    return spark.read.csv(path, header=True, schema="LOCAL long, n long, mean double, std double, median double, q1 double, q3 double, min double, max double").select(c.STORE, "n", _r("mean", 6), _r("median", 6))
+
+
+@query
+def scaling_study(spark, sf_dir):
+    """Groups of the sequential and the parallel form; their times differ from run to run."""
+    return groupstats.scaling_study(sales(spark, sf_dir), 2, steps=(1, 2)).select("jobs", "groups")

@@ -19,6 +19,8 @@ from ..errors import CorruptDataError
 from . import checks
 
 SAMPLE_ROWS = 1_000
+#: Distinct values that a column of levels may hold.
+MOST_LEVELS = 10_000
 _CORRUPT = "__corrupt"
 
 
@@ -54,7 +56,7 @@ def scan(spark: SparkSession, path: str, header: tuple[str, ...]) -> DataFrame:
     # birth dates are read as text: a strict format decides afterwards
     fields = [T.StructField(name, T.StringType() if isinstance(kinds.get(name), T.DateType) else kinds.get(name, T.StringType())) for name in header]
     reader = spark.read.schema(T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())]))
-    raw = reader.csv(path, sep=contract.SEPARATOR, quote=contract.QUOTE, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True)
+    raw = reader.csv(path, sep=contract.SEPARATOR, quote=contract.QUOTE, escape=contract.QUOTE, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True)
     raw = raw.where(~_excess(F.col(_CORRUPT), len(header)))
 
     def standard(source: str, kind: T.DataType) -> Column:
@@ -67,8 +69,11 @@ def scan(spark: SparkSession, path: str, header: tuple[str, ...]) -> DataFrame:
 
 
 def channel_levels(df: DataFrame, column: str = contract.CHANNEL) -> list[str]:
-    """The sorted distinct values, nulls left out."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    """The sorted distinct values, nulls left out; raises where they are no levels but free values."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{column} has more than {MOST_LEVELS} distinct values")
+    return sorted(found)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
