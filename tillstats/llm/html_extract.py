@@ -3,10 +3,11 @@
 The page is read into a tree: a paragraph ends where another block begins, raw-text elements
 hold no markup, what a cut-off page leaves open is closed at its end. Elements that never
 hold the article go (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, reader
-comments), known by tag, role or the words of class and id. Every paragraph then passes points, 1 and more for
-length and commas, to its ancestors: all to the parent, half to the next, less further up; each
+comments), known by tag, role or the words of class and id; within an article, a word that may also name a part of
+it counts only for short or linked text. Every paragraph then passes points, 1 and more for
+length and commas, to its ancestors: all to the parent, half to the next, half of that to the next and so on; each
 container's sum is discounted by its share of link text. The best container and those of its siblings
-that look like parts of the article are kept, whole.
+that look like parts of the article are kept, whole. Every step takes time in proportion to the page, however deep its tree.
 
 Defined results: null or empty html, or a page without text, gives the empty string. A line
 break is white space within its block. Text after an unfinished tag at the page's end is dropped with the tag.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
 import pyarrow as pa
@@ -46,6 +48,10 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: An end tag closes nothing beyond the nearest of these.
+_FENCE = frozenset(["article", "body", "td", "th", "table"])
+#: A block within these leaves a paragraph around them open.
+_KEEPS_P = frozenset(["td", "th", "table", "button", "object", "li", "blockquote", "div", "section", "article"])
 _NEVER = frozenset("head script style title noscript template iframe object embed applet audio video canvas svg math map nav footer aside form button select textarea input datalist dialog menu".split())
 _NEVER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
 #: Words of class or id that name something beside the article.
@@ -54,6 +60,8 @@ _BESIDE = frozenset(
     "sidebar rail nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comment comments disqus reply replies discussion respond "
     "share sharing social follow related recommended recommendations outbrain taboola newsletter subscribe subscription signup login form search widget skip tracking".split()
 )
+#: Words of these that may name a part of the article as well.
+_EITHER = frozenset("related recommended social follow search discussion notice alert promotion rail widget response banner form share".split())
 _COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
 _ARTICLE = frozenset("article articlebody body content entry main post story text page".split())
 _SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main".split())
@@ -70,22 +78,36 @@ class Node:
         self.words = frozenset(w.lower() for w in _WORD.findall(named)) if len(named) > 1 else frozenset()
 
 
+class _Open:
+    """The open elements, with the places of each tag among them, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def _last(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, targets, fence=frozenset()) -> None:
+        """Closes the innermost of ``targets`` and all within it, unless one of ``fence`` lies in between."""
+        at = self._last(targets)
+        if at and at >= self._last(fence):
+            for node in reversed(self.stack[at:]):
+                self.places[node.tag].pop()
+            del self.stack[at:]
+
+
 def parse(html: str) -> Node:
     """The element tree of a page."""
     root = Node("#root", None)
-    stack, at, n = [root], 0, len(html)
+    open_, at, n = _Open(root), 0, len(html)
 
     def text(upto: int) -> None:
         if upto > at:
-            stack[-1].children.append(unescape(html[at:upto]))
-
-    def close(targets, fence=frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in targets:
-                del stack[k:]
-                return
-            if stack[k].tag in fence:
-                return
+            open_.stack[-1].children.append(unescape(html[at:upto]))
 
     while at < n:
         m = _MARKUP.search(html, at)
@@ -98,25 +120,27 @@ def parse(html: str) -> Node:
         if not name or not m[4]:
             continue  # a comment, a declaration, or a tag that the page's end cuts off
         if m[1]:
-            if name == "p" and all(x.tag != "p" for x in stack):
-                continue
-            close({name}, {"article", "body", "td", "th", "table"} - {name} if name not in ("html", "body", "article", "main", "div", "section") else frozenset())
+            open_.close({name}, _FENCE - {name} if name not in ("html", "body", "article", "main", "div", "section") else frozenset())
             continue
         if name in _BLOCKS:
-            close({"p"}, {"td", "th", "table", "button", "object", "li", "blockquote", "div", "section", "article"})
+            open_.close({"p"}, _KEEPS_P)
         if name in _CLOSES:
-            close(*_CLOSES[name])
+            open_.close(*_CLOSES[name])
         attributes = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(m[3])} if "=" in m[3] or m[3].strip("/ \n\t") else {}
-        node = Node(name, stack[-1], attributes)
-        stack[-1].children.append(node)
+        node = Node(name, open_.stack[-1], attributes)
+        open_.stack[-1].children.append(node)
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>|\Z", re.I).search(html, at)
-            at = end.end()
+            at = _raw_end(name).search(html, at).end()
         elif name not in _VOID and not (m[3].endswith("/") and name not in _BLOCKS and name not in ("a", "b", "i", "span", "em", "strong")):
-            stack.append(node)
+            open_.push(node)
     return root
 
 
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>|\Z", re.I)
+
+
 def _beside(node: Node, within_article: bool) -> bool:
     """Whether an element never is part of the article."""
     a = node.attributes
@@ -124,6 +148,8 @@ def _beside(node: Node, within_article: bool) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
         return True
+    if within_article and not node.link_chars and node.chars >= 200 and node.words & _BESIDE <= _EITHER and not a.get("role"):
+        return False
     if node.words & _COMMENTS and not node.tag == "body":
         return True
     if node.tag == "header":
@@ -154,13 +180,15 @@ def _squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def _score(root: Node) -> list[Node]:
-    """Lets every paragraph pass its points on; all containers, in page order."""
+def _measured(root: Node) -> list[tuple[Node, bool]]:
+    """Every node with whether it stands in a link, in page order; their text and link text are counted."""
     order, todo = [], [(root, False)]
     while todo:
         node, linked = todo.pop()
-        order.append((node, linked or node.tag == "a"))
-        todo += [(c, linked or node.tag == "a") for c in reversed(node.children) if not isinstance(c, str)]
+        linked = linked or node.tag == "a"
+        node.chars = node.link_chars = 0
+        order.append((node, linked))
+        todo += [(c, linked) for c in reversed(node.children) if not isinstance(c, str)]
     for node, linked in reversed(order):
         own = sum(len(_squeezed(c)) for c in node.children if isinstance(c, str))
         node.chars += own
@@ -168,7 +196,13 @@ def _score(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.link_chars += node.link_chars
-    for node, _ in order:
+    return order
+
+
+def _score(root: Node) -> list[Node]:
+    """Lets every paragraph pass its points on; all containers, in page order."""
+    order = [node for node, _ in _measured(root)]
+    for node in order:
         if node.tag not in _SCORED:
             continue
         # a paragraph: its text up to the blocks within it
@@ -179,11 +213,13 @@ def _score(root: Node) -> list[Node]:
         points *= 1 - (node.link_chars / node.chars if node.chars else 0)
         # text directly in a container counts for the container itself
         target = node if node.tag in ("div", "section", "article", "main", "td") else node.parent
-        level = 0
-        while target is not None and target.tag != "#root":
-            target.points += points / (1 if level == 0 else 2 if level == 1 else level * 3)
-            target, level = target.parent, level + 1
-    return [node for node, _ in order]
+        if target is not None:
+            target.points += points
+    root.points = 0.0
+    for node in reversed(order):  # children come before their parents
+        if node.parent is not None and node.parent.parent is not None:
+            node.parent.points += node.points / 2
+    return order
 
 
 def _inline(node: Node) -> Iterator[str]:
@@ -240,6 +276,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _measured(root)
     _prune(root)
     nodes = _score(root)
     best = max((x for x in nodes if x.tag != "#root"), key=_value, default=None)
