@@ -12,9 +12,9 @@ Documents are dealt to chunks by id. Tasks send one entry per chunk and distinct
 minimizer (then distinct string), whatever the number of documents in the chunk that hold it, and answers
 return to the chunk; so a passage in a third of all documents costs a row per chunk.
 
-A minimizer with more than ``MOST_STRINGS`` distinct strings (a common phrase in ever new surroundings) would
-send them all to one task. Its windows are dealt by their next digit instead, all of their bytes, so that each distinct
-window travels alone, once a chunk, and a hot phrase spreads over all partitions.
+A minimizer with far more distinct strings than others (a common phrase in ever new surroundings) would send them all to
+one task. One that holds more than an eighth of its partition's strings, 50,000 of them at most, has its windows dealt by their
+next digit instead, all of their bytes, so that each distinct window travels alone, once a chunk, and a hot phrase spreads over all partitions.
 
 1. chunk -> distinct minimizers with the number of their strings; a minimizer that only one document holds cannot open a repeated window.
 2. chunk + live minimizers -> strings of the windows they open, with the chunk's smallest document.
@@ -48,8 +48,9 @@ _BITS = np.uint64(40)
 _LEAST = np.iinfo(np.int64).min
 #: Window starts worked on at once.
 BLOCK = 1 << 20
-#: Distinct strings of one minimizer (counted by chunk, rounded down to a power of two) up to which they go to one partition.
-MOST_STRINGS = 4_096
+#: Share of a partition's distinct strings (counted by chunk, rounded down to a power of two) from which a minimizer is hot,
+#: and the least and most strings that this stands for.
+HOT_SHARE, LEAST_HOT, MOST_STRINGS = 1 / 8, 256, 50_000
 #: Windows ordered at once within a partition.
 _MOST_WINDOWS = 400_000
 MESSAGES = "to int, chunk int, body binary"
@@ -324,7 +325,9 @@ def alive(bodies: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     first = np.flatnonzero(np.append(True, digit[1:] != digit[:-1]))
     count = np.diff(np.append(first, len(digit)))
     live = np.repeat((count > 1) | np.logical_or.reduceat(many, first), count)
-    hot = np.repeat(np.add.reduceat(np.int64(1) << (length.astype(np.int64) - 1), first) > MOST_STRINGS, count)
+    strings = np.add.reduceat(np.int64(1) << (length.astype(np.int64) - 1), first)
+    limit = min(MOST_STRINGS, max(LEAST_HOT, HOT_SHARE * strings[live[first]].sum()))
+    hot = np.repeat(strings > limit, count)
     digit, hot, owner = digit[live], hot[live], owner[live]
     order = np.argsort(owner, kind="stable")
     digit, hot, owner = digit[order], hot[order], owner[order]
