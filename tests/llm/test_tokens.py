@@ -206,3 +206,15 @@ def test_footer_is_checked():
     with pytest.raises(ValueError):
         sstable.ShardReader(BytesIO(raw), len(raw))
     assert struct.calcsize("<QQQIIQQH8s") == sstable.FOOTER.size
+
+
+def test_lookup(spark, docs, texts, tmp_path, word_tokenizer):
+    manifest = sstable.write(docs.unionByName(docs.where("doc_id = 1")), WORDS, str(tmp_path / "shards"))
+    wanted = spark.createDataFrame([(3 * i - 20 + k,) for i in range(len(texts)) for k in (0, 1)] + [(10**9,), (-(10**9),), (None,)], "doc_id long")
+    found = defaultdict(list)
+    for r in sstable.lookup(manifest, wanted).collect():
+        found[r["doc_id"]].append(np.frombuffer(r["ids"], "<u4").tolist())
+    for i, t in enumerate(texts):
+        ids = [*word_tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert found.pop(3 * i - 20) == [ids] * (2 if 3 * i - 20 == 1 else 1)
+    assert not found

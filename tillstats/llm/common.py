@@ -14,9 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    """How many ways data are dealt out: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input files, compressed, that one task of an exchange takes.
+TASK_BYTES = 64 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """How many ways data are dealt out: the session's shuffle partitions, and more where the bytes of ``df`` ask for it."""
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if df is None:
+        return least
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    # a source that doesn't know its size claims one beyond any table
+    return least if size > 1 << 60 else max(least, -(-size // TASK_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

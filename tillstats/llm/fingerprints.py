@@ -103,7 +103,7 @@ def _rings(docs: DataFrame) -> DataFrame:
 
     Bounds are ids that occur, from Spark's fixed-size percentile sketch; the highest id is one.
     """
-    n = common.partitions(docs.sparkSession)
+    n = common.partitions(docs.sparkSession, docs.select("doc_id", "text"))
     steps = [k / n for k in range(1, n)] + [1.0]
     row = docs.select(F.percentile_approx("doc_id", F.lit(steps), F.lit(10_000)).alias("b"), F.max("doc_id").alias("m")).first()
     bounds = np.unique(np.array([*(row["b"] or []), *([row["m"]] if row["m"] is not None else [])], np.int64))

@@ -127,7 +127,7 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacities: Capacities = Capac
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, buckets: int | None = None) -> DataFrame:
     """The pieces of each document's ids, cut only where they exceed ``capacity``."""
-    n = buckets or common.partitions(docs.sparkSession)
+    n = buckets or common.partitions(docs.sparkSession, docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

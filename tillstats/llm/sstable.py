@@ -18,6 +18,7 @@ the same bytes. Null texts count as empty; an empty table writes no shard.
 
 from __future__ import annotations
 
+import bisect
 import struct
 import uuid
 from collections.abc import Iterator
@@ -166,7 +167,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, vocabulary: int
     shard. Ids are dealt out as narrow integers, not as text. The manifest has a row per shard.
     """
     spark = docs.sparkSession
-    shards, width = common.partitions(spark), 2 if vocabulary <= 65_536 else 4
+    shards, width = common.partitions(spark, docs.select("doc_id", "text")), 2 if vocabulary <= 65_536 else 4
     steps = [k / shards for k in range(1, shards)] or [0.5]
     found = docs.select(F.percentile_approx("doc_id", F.lit(steps), F.lit(10_000)).alias("b")).first()["b"] or []
     bounds = np.unique(np.array(found, np.int64))
@@ -241,6 +242,41 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return listed.mapInArrow(textbuf.lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
+def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids of those ids of ``wanted`` (doc_id) that the shards hold, each entry once for each wanted row.
+
+    The manifest, a row a shard, names the shard whose keys span an id; its filter is asked, its index searched, one block read.
+    """
+    spark = wanted.sparkSession
+    shards = [(r["path"], r["first"][:9], r["last"][:9]) for r in manifest.orderBy("shard").collect()]
+    lasts = [last for _, _, last in shards]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            at = [bisect.bisect_left(lasts, key_of(d)[:9]) for d in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(0)], names=["shard", "doc_id"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, reader = -1, None
+        for batch in batches:
+            cells = []
+            for k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k >= len(shards) or key_of(d)[:9] < shards[k][1]:
+                    continue
+                if k != place:
+                    place, reader = k, open_shard(shards[k][0])
+                repeat = 0
+                while (ids := reader.get(key_of(d, repeat))) is not None:
+                    cells.append((d, ids.astype("<u4").tobytes()))
+                    repeat += 1
+            columns = list(zip(*cells, strict=True)) if cells else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["doc_id", "ids"])
+
+    asked = wanted.select("doc_id").mapInArrow(textbuf.lean(dealt), "shard int, doc_id long")
+    return asked.repartition(common.partitions(spark), "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(textbuf.lean(found), "doc_id long, ids binary")
+
+
 def _batch(cells: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])

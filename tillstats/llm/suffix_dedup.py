@@ -442,7 +442,7 @@ def spans(docs: DataFrame, make, schema, length: int = 50, keep: tuple[str, ...]
     """
     if not GRAM <= length <= 64 + GRAM - 2:
         raise ValueError(f"length must lie between {GRAM} and {64 + GRAM - 2}")
-    parts = common.partitions(docs.sparkSession)
+    parts = common.partitions(docs.sparkSession, docs.select("doc_id", "text"))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)))
     chunks = dealt.repartition(parts, "chunk")
 

@@ -77,11 +77,18 @@ class Lexicon(dict):
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
-        self.weights = weights
+        self.weights = {w: x for w, x in weights.items() if not w.endswith("+")}
+        # stems by their length, which a shorter word's beginning can't have
+        self.stems = [(k, {w[:-1]: x for w, x in weights.items() if w.endswith("+") and len(w) == k + 1}) for k in STEMS]
 
     def weight(self, word: str) -> tuple[float, float]:
-        stem = max((self.weights.get(f"{word[:k]}+", 0.0) for k in STEMS if len(word) >= k), default=0.0)
-        return max(self.weights.get(word, 0.0), stem), stem
+        stem = 0.0
+        for k, known in self.stems:
+            found = known.get(word[:k], 0.0)
+            if found > stem:
+                stem = found
+        own = self.weights.get(word, 0.0)
+        return (own if own > stem else stem), stem
 
     def __missing__(self, word: str) -> tuple | None:
         found = (*self.weight(word), word in INSULTS, word in SECOND_PERSON, not word.isalpha())
