@@ -48,15 +48,21 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Scores, sketches and packing have no SQL form; tests/llm holds each stage against brute force.
+#: Scores, sketches and packing have no SQL form; tests/llm/test_brute_force.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` table, each written as Parquet and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over the ``documents`` table, each written as Parquet and read again; a stage's rows go once the next has its own."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         out = common.new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            common.remove(spark, before)
+        before = out
+    # the last stage writes its pieces before it returns, so the rows they came from may go too
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    common.remove(spark, before)
+    return packed
