@@ -50,7 +50,7 @@ def test_colliding_texts_are_unlike(pairs):
 def test_chunks_of_one_hash_are_told_apart(monkeypatch, texts):
     monkeypatch.setattr(textbuf, "keyed", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
     encode = bpe._encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary
-    coder = chunkcode.ChunkEncoder(lambda rows: [encode(t) for t in rows], bpe._chunks)
+    coder = chunkcode.ChunkEncoder(chunkcode.one_by_one(lambda rows: [encode(t) for t in rows]), bpe._chunks)
     for t in [*texts, *texts]:
         assert coder.encode(*textbuf.buffer_of(pa.array([t])))[0].tolist() == encode(t or "")
 
@@ -104,7 +104,7 @@ def test_long_texts_keep_their_ids(text):
     data, offs = textbuf.buffer_of(pa.array([text]))
     if " " in text and " " not in text:
         assert len(bpe.safe_cuts(data)) > 10_000
-    coder = chunkcode.ChunkEncoder(lambda rows: [encode(t) for t in rows], bpe._chunks)
+    coder = chunkcode.ChunkEncoder(chunkcode.one_by_one(lambda rows: [encode(t) for t in rows]), bpe._chunks)
     assert coder.encode(data, offs)[0].tolist() == encode(text)
     assert tokens.coder(WORDS).encode(data, offs)[1][-1] > 0
 

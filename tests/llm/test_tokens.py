@@ -48,10 +48,10 @@ def test_chunks_change_no_word_id(texts):
 
 
 def test_forgetting_changes_nothing(texts):
-    from tillstats.llm.chunkcode import ChunkEncoder
+    from tillstats.llm import chunkcode
 
     encode = bpe._encoding(RANKS, public_tokenizers.PATTERN).encode_ordinary
-    small = ChunkEncoder(lambda rows: [encode(t) for t in rows], bpe._chunks, most=50)
+    small = chunkcode.ChunkEncoder(chunkcode.one_by_one(lambda rows: [encode(t) for t in rows]), bpe._chunks, most=50)
     for t in texts:
         ids, _ = small.encode(*textbuf.buffer_of(pa.array([t])))
         assert ids.tolist() == encode(t or "")
@@ -218,3 +218,14 @@ def test_lookup(spark, docs, texts, tmp_path, word_tokenizer):
         ids = [*word_tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         assert found.pop(3 * i - 20) == [ids] * (2 if 3 * i - 20 == 1 else 1)
     assert not found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1!\u0301é\0 "), max_size=12), min_size=1, max_size=8))
+def test_marks_change_no_word_id(texts):
+    from tokenizers import Tokenizer
+
+    direct = Tokenizer.from_file(WORDS) if not hasattr(test_chunks_change_no_word_id, "t") else test_chunks_change_no_word_id.t
+    test_chunks_change_no_word_id.t = direct
+    ids, bounds = tokens.coder(WORDS).encode(*textbuf.buffer_of(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [direct.encode(t, add_special_tokens=False).ids for t in texts]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .chunkcode import ChunkEncoder
+from .chunkcode import ChunkEncoder, one_by_one
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x0A]] = True
@@ -71,7 +71,7 @@ def _chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 @cache
 def _coder(path: str, pattern: str) -> ChunkEncoder:
     encode = _encoding(path, pattern).encode_ordinary
-    return ChunkEncoder(lambda texts: [encode(t) for t in texts], _chunks)
+    return ChunkEncoder(one_by_one(lambda texts: [encode(t) for t in texts]), _chunks)
 
 
 def _with_column(batch: pa.RecordBatch, lo: int, hi: int, name: str, column: pa.Array) -> pa.RecordBatch:

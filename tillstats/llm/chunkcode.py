@@ -19,11 +19,70 @@ from . import textbuf
 MOST_CHUNKS, MOST_BYTES = 1_000_000, 128
 
 
+Encoded = tuple[np.ndarray, np.ndarray]
+
+
+def one_by_one(encode: Callable[[list[str]], list[list[int]]]) -> Callable[[np.ndarray, np.ndarray, np.ndarray], Encoded]:
+    """Encodes chunks (bytes, starts, ends) by a function of strings; the ids of all and how many each has."""
+
+    def run(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Encoded:
+        whole = raw.tobytes()
+        ids = encode([whole[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for row in ids for i in row), np.uint32, int(count.sum())), count
+
+    return run
+
+
+def marked(encode: Callable[[list[str]], list[list[int]]], group: int = 200) -> Callable[[np.ndarray, np.ndarray, np.ndarray], Encoded]:
+    """As ``one_by_one`` for an encoder whose ids never cross a blank: many chunks a string, parted by a mark of one known id.
+
+    The mark is U+0000 between blanks. Chunks that hold it themselves are encoded alone.
+    """
+    alone, known = one_by_one(encode), []
+
+    def run(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Encoded:
+        if not known:
+            known.extend(encode(["\0"])[0])
+        size = ends - starts
+        odd = np.zeros(len(starts), bool)
+        zeros = np.flatnonzero(raw == 0)
+        if len(known) != 1:
+            odd[:] = True
+        elif len(zeros):
+            odd = np.searchsorted(zeros, starts) < np.searchsorted(zeros, ends)
+        plain = np.flatnonzero(~odd)
+        n = size[plain]
+        at = np.cumsum(n + 3) - (n + 3)
+        text = np.full(int((n + 3).sum()), 0x20, np.uint8)
+        text[textbuf.ragged(at, n)] = raw[textbuf.ragged(starts[plain], n)]
+        text[at + n + 1] = 0
+        whole, bounds = text.tobytes(), [*at[::group].tolist(), len(text)]
+        rows = encode([whole[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]) if len(plain) else []
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(r, np.uint32) for r in rows)])
+        marks = np.flatnonzero(ids == known[0]) if known else np.zeros(0, np.int64)
+        if len(marks) != len(plain):
+            return alone(raw, starts, ends)
+        count = np.zeros(len(starts), np.int64)
+        count[plain] = np.diff(np.append(-1, marks)) - 1
+        found = np.delete(ids, marks)
+        if not odd.any():
+            return found, count
+        others = np.flatnonzero(odd)
+        more, count[others] = alone(raw, starts[others], ends[others])
+        own = np.zeros(len(starts), np.int64)
+        own[plain] = np.cumsum(count[plain]) - count[plain]
+        own[others] = np.cumsum(count[others]) - count[others] + len(found)
+        return np.concatenate([found, more])[textbuf.ragged(own, count)], count
+
+    return run
+
+
 class ChunkEncoder:
-    """``encode_many`` maps strings to id lists; ``split`` maps (data, offs) to chunk bytes, lengths and chunks of each document."""
+    """``encode`` maps chunks (bytes, starts, ends) to ids and counts; ``split`` maps (data, offs) to chunk bytes, lengths and chunks of each document."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], split: Callable, most: int = MOST_CHUNKS):
-        self._encode_many, self._split, self._most = encode_many, split, most
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], Encoded], split: Callable, most: int = MOST_CHUNKS):
+        self._encode, self._split, self._most = encode, split, most
         self._forget()
 
     def _forget(self) -> None:
@@ -71,10 +130,7 @@ class ChunkEncoder:
         pool, at, count = self._ids, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at[known], count[known] = self._at[place[known]], self._count[place[known]]
         if len(new):
-            whole = raw.tobytes()
-            ids = self._encode_many([whole[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), bounds[1:][new].tolist(), strict=True)])
-            count[new] = np.fromiter(map(len, ids), np.int64, len(ids))
-            fresh = np.fromiter((i for row in ids for i in row), np.uint32, int(count[new].sum()))
+            fresh, count[new] = self._encode(raw, starts[new], bounds[1:][new])
             own = np.cumsum(count[new]) - count[new]
             at[new], pool = own + len(pool), np.concatenate([pool, fresh])
             if len(self._keys) + len(new) > self._most or len(self._ids) > 8 * self._most:

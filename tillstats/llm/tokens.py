@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from . import textbuf
-from .chunkcode import ChunkEncoder
+from .chunkcode import ChunkEncoder, marked
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x0A, 0x0D, 0x09]] = True
@@ -36,7 +36,7 @@ def coder(path: str) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     return ChunkEncoder(
-        lambda texts: [e.ids for k in range(0, len(texts), 20_000) for e in tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)],
+        marked(lambda texts: [e.ids for k in range(0, len(texts), 2_000) for e in tokenizer.encode_batch_fast(texts[k : k + 2_000], add_special_tokens=False)]),
         _chunks,
     )
 
