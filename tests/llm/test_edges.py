@@ -55,6 +55,18 @@ def test_chunks_of_one_hash_are_told_apart(monkeypatch, texts):
         assert coder.encode(*textbuf.buffer_of(pa.array([t])))[0].tolist() == encode(t or "")
 
 
+def test_long_texts_are_edited(spark):
+    r = random.Random(4)
+    long = " ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(200_000))
+    rows = [(5, long), (4, "a b c d e f g"), (3, long[:1_200_000]), (2, None), (1, long)]
+    found = {x["doc_id"]: x for x in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = [t or "" for _, t in rows]
+    for (i, _), own, after in zip(rows, texts, [*texts[1:], texts[0]], strict=True):
+        half = len(own) // 2
+        assert found[i]["n_chars"] == len(own) and found[i]["edited_sha256"] == hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()
+    assert found[5]["fingerprint"] == found[1]["fingerprint"] and found[1]["near_next"] == 1.0
+
+
 def brute_sets(texts, words=5):
     out = []
     for t in texts:

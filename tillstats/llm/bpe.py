@@ -4,8 +4,8 @@
 turns such a column back into raw bytes. A null text counts as empty; an empty
 text has no ids and decodes to no bytes. Texts are cut before tiktoken sees them,
 only where the splitting pattern always ends a match: at a white space byte
-between two characters that surely are none. So no cut changes an id, however
-long the text, and memory stays bounded by a slice of documents. Repeated rows and ids
+between two characters that surely are none. So no cut changes an id. A long text is read
+in parts; its ids, its bytes and a copy of either are held at once, nothing larger. Repeated rows and ids
 are handled row by row; other columns pass through unchanged.
 """
 
@@ -71,7 +71,7 @@ def _chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 @cache
 def _coder(path: str, pattern: str) -> ChunkEncoder:
     encode = _encoding(path, pattern).encode_ordinary
-    return ChunkEncoder(one_by_one(lambda texts: [encode(t) for t in texts]), _chunks)
+    return ChunkEncoder(one_by_one(lambda texts: [encode(t) for t in texts]), _chunks, cuts=safe_cuts)
 
 
 def _with_column(batch: pa.RecordBatch, lo: int, hi: int, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -101,7 +101,7 @@ def _decoder(path: str, pattern: str, ids: str, decoded: str):
         for batch in batches:
             data, offs = textbuf.buffer_of(batch.column(batch.schema.names.index(ids)))
             for lo, hi in textbuf.slices(offs, 2 * textbuf.SLICE_BYTES):
-                rows = [decode_bytes(data[offs[i] : offs[i + 1]].view("<u4").tolist()) for i in range(lo, hi)]
+                rows = [b"".join(decode_bytes(own[k : k + 100_000].tolist()) for k in range(0, len(own), 100_000)) for own in (data[offs[i] : offs[i + 1]].view("<u4") for i in range(lo, hi))]
                 yield _with_column(batch, lo, hi, decoded, pa.array(rows, pa.binary()))
 
     return textbuf.lean(run)

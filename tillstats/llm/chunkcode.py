@@ -79,10 +79,13 @@ def marked(encode: Callable[[list[str]], list[list[int]]], group: int = 200) ->
 
 
 class ChunkEncoder:
-    """``encode`` maps chunks (bytes, starts, ends) to ids and counts; ``split`` maps (data, offs) to chunk bytes, lengths and chunks of each document."""
+    """``encode`` maps chunks (bytes, starts, ends) to ids and counts; ``split`` maps (data, offs) to chunk bytes, lengths and chunks of each document.
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], Encoded], split: Callable, most: int = MOST_CHUNKS):
-        self._encode, self._split, self._most = encode, split, most
+    ``cuts`` gives places where a text may be cut; with it a long text is read in parts of a slice's size.
+    """
+
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], Encoded], split: Callable, most: int = MOST_CHUNKS, cuts: Callable[[np.ndarray], np.ndarray] | None = None):
+        self._encode, self._split, self._most, self._cuts = encode, split, most, cuts
         self._forget()
 
     def _forget(self) -> None:
@@ -118,6 +121,23 @@ class ChunkEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a slice as uint32, and each document's bounds."""
+        if self._cuts is None or len(offs) != 2 or len(data) <= 2 * textbuf.SLICE_BYTES:
+            return self._encoded(data, offs)
+        found, lo = [], 0
+        while lo < len(data):
+            hi = min(len(data), lo + textbuf.SLICE_BYTES)
+            while hi < len(data):
+                at = self._cuts(data[lo:hi])
+                if len(at):
+                    hi = lo + int(at[-1])
+                    break
+                hi = min(len(data), 2 * hi - lo)
+            found.append(self._encoded(data[lo:hi], np.array([0, hi - lo]))[0])
+            lo = hi
+        ids = np.concatenate(found)
+        return ids, np.array([0, len(ids)])
+
+    def _encoded(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, lengths, chunks = self._split(data, offs)
         if not len(lengths):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)

@@ -156,7 +156,7 @@ def edited(docs: DataFrame, bins: int = BINS, bits: int = BITS, words: int = 5)
                 if tail:
                     yield group
                     done, group = True, group[-1:]
-                elif size >= textbuf.SLICE_BYTES or len(group) > _MOST_ROWS:
+                elif len(group) > 1 and (size >= textbuf.SLICE_BYTES or len(group) > _MOST_ROWS):  # a long text waits for its next
                     yield group
                     group, size = group[-1:], 0
         if group and not done:

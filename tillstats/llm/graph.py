@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textbuf
@@ -54,31 +54,17 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation over edges (a, b), grouped by ``a``, in one exchange; memory doesn't depend on a node's degree.
+    """One star operation over edges (a, b), grouped by ``a``, in one exchange; a group's rows are sorted and spill, none is gathered.
 
     Large: each ``a`` hands its smallest neighbour (or itself) to its larger ones. Small: all ``b`` are
     smaller than ``a``, which hands the smallest to the others and itself.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, least, last = None, None, None
-        for batch in batches:
-            if not len(batch):
-                continue
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.append(a[0] != key if key is not None else True, a[1:] != a[:-1])
-            again = ~new & (b == np.append(last if last is not None else b[0], b[:-1]))
-            first = np.flatnonzero(new)
-            heads = np.minimum(a[first], b[first]) if large else b[first]
-            m = np.concatenate([np.array([] if new[0] else [least], np.int64), heads])[np.cumsum(new) - int(new[0])]  # ids use all 64 bits
-            keep = ~again & ((b > a) if large else (b != m))
-            out_a, out_b = m[keep], b[keep]
-            if not large:
-                out_a, out_b = np.append(out_a, heads), np.append(out_b, a[first])
-            key, least, last = a[-1], m[-1], b[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out_a), pa.array(out_b)], names=["a", "b"])
-
-    return edges.repartition(common.partitions(edges.sparkSession), "a").sortWithinPartitions("a", "b").mapInArrow(textbuf.lean(run), EDGES)
+    own = Window.partitionBy("a").orderBy("b")
+    seen = edges.select("a", "b", F.first("b").over(own).alias("m"), F.lag("b").over(own).alias("before"))
+    once = seen.where("before is null or before <> b")
+    if large:
+        return once.where("b > a").select(F.least("a", "m").alias("a"), "b")
+    return once.select(F.col("m").alias("a"), F.when(F.col("before").isNull(), F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

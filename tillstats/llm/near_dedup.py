@@ -23,7 +23,6 @@ document for linking and each row is returned. An empty table gives an empty res
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +108,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
             data, offs = textbuf.buffer_of(batch.column(1))
             for lo, hi in textbuf.slices(offs):
                 hashes, bounds = textbuf.shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words)
-                keys = [hashlib.blake2b(t, digest_size=16).digest() for t in textbuf.normalised(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])]
-                key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+                key = np.frombuffer(b"".join(textbuf.digests(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])), "<i8").reshape(-1, 2)
                 columns = [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(pack(*sketches(hashes, bounds)), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_shingles", "k1", "k2", "sketch"])
 
@@ -130,23 +128,27 @@ def exact_sets(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray]
     begin = np.cumsum(count) - count
     made = np.where(count >= words, count - words + 1, (count > 0).astype(np.int64))
     at = textbuf.ragged(begin, made)
-    text = np.repeat(np.arange(len(made)), made)
-    rows = np.full((len(at), words), -1, np.int64)  # a text with fewer words has one short row
-    for j in range(words):
-        inside = at + j < (begin + count)[text]
-        rows[inside, j] = number[at[inside] + j]
+    text = np.repeat(np.arange(len(made), dtype=np.int32), made)
+    end = np.repeat(begin + count, made)
+
+    def column(j: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The j-th word of shingles; -1 where a text has fewer."""
+        place = at[rows] + j
+        return np.where(place < end[rows], number[np.minimum(place, len(number) - 1)], -1) if len(number) else place
+
     hashed = np.zeros(len(at), np.uint64)
-    for column in rows.T:
-        hashed = textbuf.mix(hashed + column.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for j in range(words):
+        hashed = textbuf.mix(hashed + column(j).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(hashed, kind="stable")
     same = hashed[order[1:]] == hashed[order[:-1]]
-    if (rows[order[1:][same]] == rows[order[:-1][same]]).all():
+    left, right = order[:-1][same], order[1:][same]
+    if all((column(j, left) == column(j, right)).all() for j in range(words)):
         shingle = np.empty(len(at), np.int64)
         shingle[order] = np.cumsum(np.append(True, ~same)[: len(at)])
     else:  # unequal words under one hash
-        shingle = np.unique(rows, axis=0, return_inverse=True)[1].reshape(-1)
+        shingle = np.unique(np.stack([column(j) for j in range(words)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
     most = len(at) + 1
-    own = np.unique(text * most + shingle)
+    own = textbuf.distinct(text.astype(np.int64) * most + shingle)
     return own % most, np.searchsorted(own // most, np.arange(len(made) + 1))
 
 

@@ -354,8 +354,9 @@ def radix_groups(text: np.ndarray, starts: np.ndarray, groups: np.ndarray, lengt
                 digit = digit << np.uint64(8) | padded[at + k]
             mixed = np.flatnonzero(np.append(False, (bounds[1:] == bounds[:-1]) & (digit[1:] != digit[:-1])))
             if len(mixed):
-                again = np.isin(bounds, np.unique(bounds[mixed]))
-                own = np.flatnonzero(again)
+                again = np.zeros(int(bounds[-1]) + 1, bool)  # bounds ascend
+                again[bounds[mixed]] = True
+                own = np.flatnonzero(again[bounds])
                 turn = own[np.lexsort((digit[own], bounds[own]))]
                 order[own], digit[own] = order[turn], digit[turn]
             new = np.append(True, (bounds[1:] != bounds[:-1]) | (digit[1:] != digit[:-1]))
@@ -404,12 +405,11 @@ def judged(bodies: list[tuple[int, bytes]], length: int) -> list[tuple[int, byte
             hit = some[least[group[some]] < ids[row[some]]]
             np.bitwise_or.at(bits, row[hit], np.uint64(1) << window[hit].astype(np.uint64))
         lo = hi
-    out = []
-    for c in np.unique(chunk).tolist():
-        own = np.flatnonzero((chunk == c) & (bits > 0))
-        if len(own):
-            out.append((c, _body(place[own].astype("<u4").tobytes(), bits[own].astype("<u8").tobytes())))
-    return out
+    hit = np.flatnonzero(bits)
+    hit = hit[np.argsort(chunk[hit], kind="stable")]
+    first = np.flatnonzero(np.append(True, chunk[hit[1:]] != chunk[hit[:-1]])) if len(hit) else hit
+    ends = np.append(first[1:], len(hit))
+    return [(int(chunk[hit[a]]), _body(place[hit[a:b]].astype("<u4").tobytes(), bits[hit[a:b]].astype("<u8").tobytes())) for a, b in zip(first, ends, strict=False)]
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:

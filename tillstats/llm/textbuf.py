@@ -100,6 +100,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting them in place."""
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 #: What parts words: space and the bytes 0x09 to 0x0D.
 WORD_SEPARATOR = np.zeros(256, bool)
 WORD_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -198,8 +204,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words_: int = 5, fold_case:
     counts by a keyed hash of its bytes, so texts can't be made to collide; who needs equality compares the words.
     """
     n = len(offs) - 1
-    if n == 1 and len(data) > 2 * SLICE_BYTES:
-        return _long_set(data, words_, fold_case)
+    if (np.diff(offs) > 2 * SLICE_BYTES).any():
+        if n == 1:
+            return _long_set(data, words_, fold_case)
+        parts = [shingle_sets(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], words_, fold_case) for lo, hi in slices(offs)]
+        return np.concatenate([p[0] for p in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])))
     hashed, count = word_hashes(data, offs, fold_case)
     begin = np.cumsum(count) - count
     k = min(words_, 64)
@@ -233,24 +242,47 @@ def _combined(hashed: np.ndarray, k: int) -> np.ndarray:
     return mix(parts)
 
 
-def _long_set(data: np.ndarray, words_: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``shingle_sets`` of one long text, read in parts that end between words."""
-    k = min(words_, 64)
-    carried, found, lo = np.zeros(0, np.uint64), [], 0
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of one long text that end between words."""
+    lo = 0
     while lo < len(data):
         hi = min(len(data), lo + SLICE_BYTES)
         while hi < len(data) and not WORD_SEPARATOR[data[hi]]:
             ahead = np.flatnonzero(WORD_SEPARATOR[data[hi : hi + 4096]])
             hi = hi + int(ahead[0]) if len(ahead) else min(len(data), hi + 4096)
+        yield lo, hi
+        lo = hi
+
+
+def _long_set(data: np.ndarray, words_: int, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of one long text, read in parts."""
+    k = min(words_, 64)
+    carried, found = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    fresh: list[np.ndarray] = []
+    for lo, hi in pieces(data):
         carried = np.append(carried, word_hashes(data[lo:hi], np.array([0, hi - lo]), fold_case)[0])
         if len(carried) >= k:
-            found.append(np.unique(_combined(carried, k)))
+            fresh.append(distinct(_combined(carried, k)))
             carried = carried[len(carried) - k + 1 :]
-        lo = hi
-    if found:
-        out = np.unique(np.concatenate(found))
-    elif len(carried):
+        if sum(map(len, fresh)) > max(1_000_000, len(found)):
+            found, fresh = distinct(np.concatenate([found, *fresh])), []
+    out = distinct(np.concatenate([found, *fresh]))
+    if not len(out) and len(carried):
         out = mix((carried * _STEPS[: len(carried)]).sum(dtype=np.uint64, keepdims=True) + np.full(1, len(carried), np.uint64) * _M2)
-    else:
-        out = carried
     return out, np.array([0, len(out)])
+
+
+def digests(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """128 bits of a cryptographic digest of each document's words in lower case (A-Z)."""
+    out: list[bytes] = []
+    for lo, hi in slices(offs):
+        if hi - lo == 1 and offs[hi] - offs[lo] > 2 * SLICE_BYTES:
+            text, own, sep = data[offs[lo] : offs[hi]], hashlib.blake2b(digest_size=16), b""
+            for a, b in pieces(text):
+                if part := normalised(text[a:b], np.array([0, b - a]))[0]:
+                    own.update(sep + part)
+                    sep = b" "
+            out.append(own.digest())
+        else:
+            out += [hashlib.blake2b(t, digest_size=16).digest() for t in normalised(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])]
+    return out

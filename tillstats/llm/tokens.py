@@ -38,6 +38,7 @@ def coder(path: str) -> ChunkEncoder:
     return ChunkEncoder(
         marked(lambda texts: [e.ids for k in range(0, len(texts), 2_000) for e in tokenizer.encode_batch_fast(texts[k : k + 2_000], add_special_tokens=False)]),
         _chunks,
+        cuts=lambda data: np.flatnonzero(_BLANK[data[1:]]) + 1,
     )
 
 
