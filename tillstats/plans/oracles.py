@@ -147,8 +147,33 @@ _PARTIAL = """z AS (SELECT i, y - (SELECT avg(y) FROM series) AS z FROM series),
     FROM (SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, len(phi) + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / err AS a1 FROM steps WHERE k + 1 < lags))"""
 
 
-def _regression() -> str:
-    """The full fit by taking out one predictor after another, then putting coefficients together backwards."""
+#: Royston's coefficients (AS R94) of the last two weights, and of mean and log deviation of log(1 - W) by log n.
+_LAST_WEIGHT, _SECOND_WEIGHT = (0.221157, -0.147981, -2.07119, 4.434685, -2.706056), (0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_W_MEAN, _W_DEVIATION = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+
+
+def _shapiro(values: str) -> list[str]:
+    """CTEs up to ``w`` (w, n): Shapiro-Wilk of rows (e) in ``values``, its normal quantiles by Newton's steps on the integrated density."""
+    cte = [f"sw AS (SELECT e, row_number() OVER (ORDER BY e) AS i, count(*) OVER () AS n, avg(e) OVER () AS mean FROM ({values}))"]
+    cte.append("z0 AS (SELECT *, 4.91 * (power(p, 0.14) - power(1 - p, 0.14)) AS z FROM (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM sw))")
+    for step in range(1, 5):
+        below = "0.5 + sign(z) * abs(z) / 1200 / sqrt(2 * pi()) * sum(CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * k / 400, 2) / 2))"
+        cte.append(f"z{step} AS (SELECT e, i, n, mean, p, z - ({below} - p) * sqrt(2 * pi()) * exp(z * z / 2) AS z FROM z{step - 1}, range(401) r(k) GROUP BY e, i, n, mean, p, z)")
+
+    def powers(coefficients, first: int, x: str) -> str:
+        return " + ".join(f"({c}) * power({x}, {j})" for j, c in enumerate(coefficients, first))
+
+    cte.append("sm AS (SELECT max(n) AS n, sum(z * z) AS total, max(z) AS z1, max(z) FILTER (WHERE i = n - 1) AS z2 FROM z4)")
+    cte.append(f"sa AS (SELECT *, {powers(_LAST_WEIGHT, 1, '(1 / sqrt(n))')} + z1 / sqrt(total) AS a1, {powers(_SECOND_WEIGHT, 1, '(1 / sqrt(n))')} + z2 / sqrt(total) AS a2 FROM sm)")
+    cte.append("sp AS (SELECT *, (total - 2 * z1 * z1 - 2 * z2 * z2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM sa)")
+    weight = "CASE WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 WHEN i = z4.n - 1 THEN a2 WHEN i = z4.n THEN a1 ELSE z / sqrt(phi) END"
+    cte.append(f"w0 AS (SELECT power(sum({weight} * e), 2) / sum(power(e - mean, 2)) AS w, CAST(max(z4.n) AS DOUBLE) AS n FROM z4, sp)")
+    cte.append(f"w AS (SELECT w, (ln(1 - w) - ({powers(_W_MEAN, 0, 'ln(n)')})) / exp({powers(_W_DEVIATION, 0, 'ln(n)')}) AS z FROM w0)")
+    return cte
+
+
+def _regression(normal: bool = False) -> str:
+    """The full fit by taking out one predictor after another, then putting coefficients together backwards; or its residuals' normality."""
     x = ["UNIDADES", "PORCENTAJE_DESCUENTO", "CANAL_POS", "CANAL_WEB", "LOCAL"]
     k = len(x)
     cte = [
@@ -184,6 +209,9 @@ def _regression() -> str:
     line = " + ".join(f"beta{i} * ({{t}}.x{i} - m_x{i})" for i in range(k))
     cte.append(f"te_e AS (SELECT te.y, te.y - m_y - ({line.format(t='te')}) AS e FROM te, c0, mean)")
     cte.append("met AS (SELECT count(*) AS n, sqrt(sum(e * e) / count(*)) AS rmse, avg(abs(e)) AS mae, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM te_e)")
+    if normal:
+        cte += _shapiro(f"SELECT tr.y - m_y - ({line.format(t='tr')}) AS e FROM tr, c0, mean WHERE place <= ceil(0.3 * n) + 5000")
+        return f"WITH {', '.join(cte)} SELECT round(w, 8) AS shapiro_w, round({_normal_sf('w.z')}, 8) AS shapiro_p FROM w"
     # Breusch-Pagan: squared residuals on the same predictors
     cte.append(f"sq AS (SELECT {', '.join(f'tr.x{i} - m_x{i} AS x{i}' for i in range(k))}, power(tr.y - m_y - ({line.format(t='tr')}), 2) AS e2 FROM tr, c0, mean)")
     cte.append(f"sqc AS (SELECT {', '.join(cols)}, e2 - avg(e2) OVER () AS y FROM sq)")
@@ -213,6 +241,32 @@ _LABELLED = f"""p AS (SELECT CODIGO_CLIENTE, sum(MONTO_APLICADO) AS a, avg(UNIDA
   xy AS (SELECT CODIGO_CLIENTE, (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS x, (u - avg(u) OVER ()) / stddev_samp(u) OVER () AS y FROM p),
   dd AS (SELECT *, {', '.join(f'{d} AS d{i}' for i, d in enumerate(_DISTANCES))} FROM xy),
   lab AS (SELECT *, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM dd)"""
+#: K-means: k from 2 to 7, ten starts each by k-means++ with drawn shares, Lloyd's steps until no centre moves by 1e-4 or twenty have passed.
+_SHARE = "(CAST('0x' || substr(md5('42|' || {k} || '|' || {i} || '|' || {step}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+_SQUARE = "power(x - p[1], 2) + power(y - p[2], 2)"
+_KMEANS = f"""{_LABELLED.split("  dd AS")[0].rstrip().rstrip(",")},
+  pts AS (SELECT *, row_number() OVER (ORDER BY md5('42|' || CODIGO_CLIENTE)) - 1 AS r, count(*) OVER () AS n FROM xy),
+  seeds AS (SELECT CAST(a.k AS INTEGER) AS k, CAST(b.i AS INTEGER) AS i, 1 AS step, [[x, y]] AS c FROM range(2, 8) a(k), range(10) b(i), pts WHERE r = floor({_SHARE.format(k='a.k', i='b.i', step='0')} * n)
+    UNION ALL SELECT k, i, step + 1, list_append(c, [px, py]) FROM (SELECT k, i, step, any_value(c) AS c, arg_min(x, r) AS px, arg_min(y, r) AS py FROM (
+      SELECT *, sum(d) OVER (PARTITION BY k, i ORDER BY r ROWS UNBOUNDED PRECEDING) AS cum, sum(d) OVER (PARTITION BY k, i) AS total FROM (
+        SELECT k, i, step, c, x, y, r, list_min(list_transform(c, lambda p: {_SQUARE})) AS d FROM seeds, pts WHERE step < k))
+      WHERE cum >= {_SHARE.format(k='k', i='i', step='step')} * total GROUP BY k, i, step)),
+  steps AS (SELECT k, i, 0 AS it, c, CAST(1 AS DOUBLE) AS moved FROM seeds WHERE step = k
+    UNION ALL SELECT k, i, it + 1, m, list_max(list_transform(range(1, k + 1), lambda j: greatest(abs(m[j][1] - c[j][1]), abs(m[j][2] - c[j][2])))) FROM (
+      SELECT k, i, it, c, list_transform(range(1, k + 1), lambda j: coalesce(list_filter(l, lambda s: s.j = j)[1].m, c[j])) AS m FROM (
+        SELECT k, i, it, any_value(c) AS c, list({{'j': j, 'm': [mx, my]}}) AS l FROM (
+          SELECT k, i, it, any_value(c) AS c, j, avg(x) AS mx, avg(y) AS my FROM (
+            SELECT k, i, it, c, x, y, list_position(d, list_min(d)) AS j FROM (
+              SELECT k, i, it, c, x, y, list_transform(c, lambda p: {_SQUARE}) AS d FROM steps, pts WHERE moved > 1e-4 AND it < 20))
+          GROUP BY k, i, it, j) GROUP BY k, i, it))),
+  ended AS (SELECT k, i, list_sort(arg_max(c, it)) AS c FROM steps GROUP BY k, i),
+  costs AS (SELECT k, i, any_value(c) AS c, sum(list_min(list_transform(c, lambda p: {_SQUARE}))) AS inertia FROM ended, pts GROUP BY k, i),
+  best AS (SELECT k, arg_min(c, inertia) AS c, min(inertia) AS inertia FROM costs GROUP BY k),
+  lab AS (SELECT k, r, x, y, list_position(d, list_min(d)) - 1 AS cluster FROM (SELECT k, r, x, y, list_transform(c, lambda p: {_SQUARE}) AS d FROM best, pts)),
+  size AS (SELECT k, cluster, count(*) AS n FROM lab GROUP BY 1, 2),
+  m AS (SELECT a.k, a.r AS id, a.cluster AS own, b.cluster AS other, sum(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM lab a JOIN lab b ON a.k = b.k GROUP BY 1, 2, 3, 4),
+  s AS (SELECT m.k, id, max(CASE WHEN own = other THEN d / greatest(n - 1, 1) END) AS inner_, max(CASE WHEN own = other THEN n END) AS n, min(CASE WHEN own <> other THEN d / n END) AS outer_ FROM m JOIN size ON size.k = m.k AND size.cluster = m.other GROUP BY 1, 2),
+  elbow AS (SELECT best.k, max(inertia) AS inertia, avg(CASE WHEN n > 1 AND greatest(inner_, outer_) > 0 THEN (outer_ - inner_) / greatest(inner_, outer_) ELSE 0 END) AS silhouette_score FROM best JOIN s ON s.k = best.k GROUP BY best.k)"""
 _GROUPED = "count({v}) AS n, avg({v}) AS mean, coalesce(stddev_samp({v}), 0) AS std, quantile_cont({v}, 0.5) AS median, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.75) AS q3, min({v}) AS min, max({v}) AS max"
 
 
@@ -300,7 +354,10 @@ ORACLES: dict[str, str] = {
   SELECT 'days' AS name, CAST((SELECT count(*) FROM series) AS DOUBLE) AS value UNION ALL SELECT 'trimmed_days', CAST(start AS DOUBLE) FROM g UNION ALL SELECT 'residuals', CAST(count(e) AS DOUBLE) FROM e UNION ALL SELECT 'residual_variance', round(avg(e * e), 2) FROM e
   UNION ALL SELECT 'acf ' || lag, round((SELECT sum(a.z * b.z) FROM zz a JOIN zz b ON b.i = a.i - lag) / (SELECT sum(z * z) FROM zz), 8) FROM l""",
     "regression_full": _regression(),
+    "residual_normality": _regression(normal=True),
     "train_test_split": f"WITH {_S}, r AS (SELECT ROW_KEY, row_number() OVER (ORDER BY substr(md5('42|' || ROW_KEY), 1, 13)) AS place, count(*) OVER () AS n FROM sales WHERE PORCENTAJE_DESCUENTO IS NOT NULL) SELECT ROW_KEY, CASE WHEN place <= ceil(0.3 * n) THEN 'test' ELSE 'train' END AS part FROM r",
+    "kmeans_elbow": f"WITH RECURSIVE {_S}, {_KMEANS} SELECT k, round(inertia, 4) AS inertia, round(silhouette_score, 6) AS silhouette_score FROM elbow",
+    "cluster_profile": f"WITH RECURSIVE {_S}, {_KMEANS} SELECT CAST(cluster AS INTEGER) AS cluster, round(avg(x), 6) AS MONTO_APLICADO_sum, round(avg(y), 6) AS UNIDADES_mean, count(*) AS n_clientes FROM lab WHERE k = (SELECT k FROM elbow ORDER BY silhouette_score DESC, k LIMIT 1) GROUP BY 1",
     "clusters_of_centres": f"WITH {_S}, {_LABELLED} SELECT cluster, round(avg(x), 6) AS MONTO_APLICADO_sum, round(avg(y), 6) AS UNIDADES_mean, round(sum(least(d0, d1, d2)), 6) AS inertia, count(*) AS n_clientes FROM lab GROUP BY 1",
     "silhouette_of_centres": f"""WITH {_S}, {_LABELLED}, size AS (SELECT cluster, count(*) AS n FROM lab GROUP BY 1),
   m AS (SELECT a.CODIGO_CLIENTE AS id, a.cluster AS own, b.cluster AS other, sum(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))) AS d FROM lab a, lab b GROUP BY 1, 2, 3),

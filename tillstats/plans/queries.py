@@ -278,9 +278,9 @@ def regression_full(spark, sf_dir):
 
 @query
 def residual_normality(spark, sf_dir):
-    """Shapiro-Wilk of 5,000 training residuals: the one figure of the regression that SQL doesn't check."""
+    """Shapiro-Wilk of 5,000 training residuals."""
     _, diagnostics, _ = regression.fit_and_diagnose(sales(spark, sf_dir), key=F.col("ROW_KEY"))
-    return spark.createDataFrame([(diagnostics.shapiro_p,)], "shapiro_p double")
+    return spark.createDataFrame([(round(diagnostics.shapiro_w, 8), round(diagnostics.shapiro_p, 8))], "shapiro_w double, shapiro_p double")
 
 
 @query
@@ -298,14 +298,14 @@ def _points(spark, sf_dir):
 def kmeans_elbow(spark, sf_dir):
     points = _points(spark, sf_dir).persist()
     try:
-        return segments.elbow_and_silhouette(points, range(2, 8))
+        return segments.elbow_and_silhouette(points, range(2, 8)).select("k", _r("inertia", 4), _r("silhouette_score", 6))
     finally:
         points.unpersist()
 
 
 @query
 def cluster_profile(spark, sf_dir):
-    return segments.segment(sales(spark, sf_dir)).profile
+    return segments.segment(sales(spark, sf_dir)).profile.select("cluster", *(_r(x, 6) for x in segments.FEATURES), "n_clientes")
 
 
 #: Centres in standard units, for the parts of the clustering that don't depend on a random start.
