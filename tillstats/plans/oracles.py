@@ -381,7 +381,7 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"round(({x} - m{k}) / s{k}, 6) AS {x}_STD" for k, x in enumerate(("MONTO_APLICADO", "UNIDADES", "PORCENTAJE_DESCUENTO")))
     + " FROM aged JOIN k ON who = CODIGO_CLIENTE, q",
     "scaling": f"WITH {_S} " + _union(f"SELECT '{x}' AS variable, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std FROM sales" for x in ("MONTO_APLICADO", "UNIDADES", "PORCENTAJE_DESCUENTO")),
-    "csv_scan": f"WITH {_S} SELECT CANAL, count(*) AS n, count(PORCENTAJE_DESCUENTO) AS discounts, count(b) AS births, min(b) AS first_birth, round(sum(MONTO_APLICADO), 3) AS total, CAST(sum(UNIDADES) AS BIGINT) AS units, count(DISTINCT CODIGO_CLIENTE) AS customers, max(FECHA) AS last, 'x;y' AS run, 'a ' || chr(34) || 'b' || chr(34) AS name "
+    "csv_scan": f"WITH {_S} SELECT CANAL, count(*) AS n, count(PORCENTAJE_DESCUENTO) AS discounts, count(b) AS births, min(b) AS first_birth, round(sum(MONTO_APLICADO), 1) AS total, CAST(sum(UNIDADES) AS BIGINT) AS units, count(DISTINCT CODIGO_CLIENTE) AS customers, max(FECHA) AS last, 'x;y' AS run, 'a ' || chr(34) || 'b' || chr(34) AS name "
     "FROM (SELECT *, CASE WHEN CODIGO_CLIENTE % 7 <> 0 THEN FECHA_NACIMIENTO END AS b FROM sales) GROUP BY CANAL",
     "saved_table": f"WITH {_S} SELECT LOCAL, count(MONTO_APLICADO) AS n, round(avg(MONTO_APLICADO), 6) AS mean, round(quantile_cont(MONTO_APLICADO, 0.5), 6) AS median FROM sales GROUP BY 1",
     "scaling_study": f"WITH {_S} SELECT CAST(j AS INTEGER) AS jobs, (SELECT count(DISTINCT LOCAL) FROM sales) AS groups FROM range(1, 3) t(j)",

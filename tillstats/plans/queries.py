@@ -422,7 +422,7 @@ def csv_scan(spark, sf_dir):
 
     df = csv.load(spark, _as_file(spark, sf_dir, shared.new_folder(spark, "sales")))
     return df.groupBy(c.CHANNEL).agg(
-        F.count("*").alias("n"), F.count(c.DISCOUNT).alias("discounts"), F.count(c.BIRTH).alias("births"), F.min(c.BIRTH).alias("first_birth"), _r(F.sum(c.AMOUNT), 3, "total"),
+        F.count("*").alias("n"), F.count(c.DISCOUNT).alias("discounts"), F.count(c.BIRTH).alias("births"), F.min(c.BIRTH).alias("first_birth"), _r(F.sum(c.AMOUNT), 1, "total"),
         F.sum(c.UNITS).alias("units"), F.countDistinct(c.CUSTOMER).alias("customers"), F.max(c.DATE).alias("last"), F.min("RUN_CLIENTE").alias("run"), F.min("NOMBRES").alias("name"),
     )
 
