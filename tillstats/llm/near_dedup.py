@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash sketches, banding and full-set verification.
 
 1. Each document becomes the set of its distinct word shingles. Documents with the same words in the same order form one
-   class, known by a 128-bit cryptographic digest of these words; its first 64 bits (``rep``) name it in all that follows.
+   class, known by a 128-bit cryptographic digest of these words; classes are numbered (``rep``) when they are written.
 2. A HyperMinHash sketch keeps for each of 128 buckets the leading-zero count and
    16 mantissa bits of the bucket's least hash. Bands of 4 compressed registers are hashed; bands without
    any register are left out, since they say nothing. At a likeness of 0.75 a pair
@@ -285,11 +285,12 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # every row of a class has the same words, so any of its sketches and texts will do
     classes = some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row", F.col("n_shingles").alias("n"), "sketch")).alias("s"))
-    reps = common.cut(classes.select(F.col("k1").alias("rep"), "s.n", "s.sketch", "s.doc_id", "s.row"))
+    reps = common.cut(classes.select("k1", "k2", "s.n", "s.sketch", "s.doc_id", "s.row").withColumn("rep", F.monotonically_increasing_id()))
     # the classes of one id belong together
-    own = some.select("doc_id", "k1").distinct()
-    several = own.groupBy("doc_id").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a <> z").select("doc_id", "a")
-    same = own.join(several, "doc_id").where("a <> k1").select("a", F.col("k1").alias("b"))
+    own = some.select("doc_id", "k1", "k2").distinct()
+    several = own.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("z")).where("a <> z").select("doc_id")
+    member = own.join(several, "doc_id").join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
+    same = member.join(member.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
     bands = _bands(reps)
     full = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
@@ -309,10 +310,10 @@ def link(docs: DataFrame, words: int = 5) -> DataFrame:
     more = common.cut(_verified(_hopeful(_prefix_pairs(texts, groups, words), reps), texts, words))
 
     whole = graph.components(found.union(more).union(same))
-    placed = reps.select("rep", "doc_id").join(whole, F.col("rep") == F.col("node"), "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("comp"))
+    placed = reps.select("rep", "k1", "k2", "doc_id").join(whole, F.col("rep") == F.col("node"), "left").select("k1", "k2", "doc_id", F.coalesce("component", "rep").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component"))
-    per_class = placed.join(least, "comp").select(F.col("rep").alias("k1"), "component")
-    joined = signed.join(per_class, "k1", "left")
+    per_class = placed.join(least, "comp").select("k1", "k2", "component")
+    joined = signed.select("doc_id", "n_shingles", "k1", "k2").join(per_class, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
