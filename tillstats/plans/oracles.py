@@ -385,4 +385,19 @@ ORACLES: dict[str, str] = {
     "FROM (SELECT *, CASE WHEN CODIGO_CLIENTE % 7 <> 0 THEN FECHA_NACIMIENTO END AS b FROM sales) GROUP BY CANAL",
     "saved_table": f"WITH {_S} SELECT LOCAL, count(MONTO_APLICADO) AS n, round(avg(MONTO_APLICADO), 6) AS mean, round(quantile_cont(MONTO_APLICADO, 0.5), 6) AS median FROM sales GROUP BY 1",
     "scaling_study": f"WITH {_S} SELECT CAST(j AS INTEGER) AS jobs, (SELECT count(DISTINCT LOCAL) FROM sales) AS groups FROM range(1, 3) t(j)",
+    "csv_sample": f"WITH {_S}, t AS (SELECT BOLETA FROM sales ORDER BY ROW_KEY LIMIT 20) SELECT CAST(15 AS BIGINT) AS columns, count(*) FILTER (WHERE BOLETA % 3 <> 0) AS rows, count(*) FILTER (WHERE BOLETA % 3 = 0) AS skipped FROM t",
 }
+ORACLES["saved_report"], ORACLES["saved_model"] = ORACLES["scaling"], ORACLES["ols_fit"]
+ORACLES["extrapolability"] = _union(
+    [
+        f"SELECT 'the regression explains little (adjusted R2 below 0.3)' AS warning FROM ({ORACLES['regression_full']}) WHERE name = 'r2_adjusted' AND value < 0.3",
+        f"SELECT 'predictors are collinear (largest variance inflation ' || printf('%.1f', max(value)) || ')' FROM ({ORACLES['regression_full']}) WHERE name LIKE 'vif%' HAVING max(value) > 10",
+        f"SELECT 'residuals are not normal' FROM ({ORACLES['residual_normality']}) WHERE shapiro_p < 0.05",
+        f"SELECT 'residual variance is not constant' FROM ({ORACLES['regression_full']}) WHERE name = 'breusch_pagan_p' AND value < 0.05",
+        f"SELECT CAST(sum(value) AS BIGINT) || ' values are flagged as outliers' FROM ({ORACLES['cleaning_report']}) WHERE name LIKE 'outliers%' HAVING sum(value) > 0",
+    ]
+)
+_FIGURE = f"(SELECT value FROM ({ORACLES['regression_full']}) WHERE name = '{{}}')"
+ORACLES["validation_summary"] = f"""SELECT 'linear regression' AS modelo, 'RMSE' AS metrica_principal, {_FIGURE.format('rmse')} AS valor_principal, 'adjusted R2' AS metrica_secundaria, {_FIGURE.format('r2_adjusted')} AS valor_secundario,
+  CAST({_FIGURE.format('n_train')} AS BIGINT) AS n_train, CAST({_FIGURE.format('n_test')} AS BIGINT) AS n_test
+  UNION ALL SELECT 'k-means', 'silhouette', round(max(silhouette_score), 4), 'k', CAST(arg_max(k, silhouette_score) AS DOUBLE), NULL, NULL FROM ({ORACLES['kmeans_elbow']})"""

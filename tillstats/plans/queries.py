@@ -13,6 +13,7 @@ from ..operators import describe, features, groupstats, inference, quality, regr
 from ..operators.quantiles import clean
 from ..sources import shared
 from ..sources.salesview import sales
+from . import report
 
 NUMERIC = (c.AMOUNT, c.UNITS, c.DISCOUNT)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,3 +441,56 @@ def saved_table(spark, sf_dir):
 def scaling_study(spark, sf_dir):
     """Groups of the sequential and the parallel form; their times differ from run to run."""
     return groupstats.scaling_study(sales(spark, sf_dir), 2, steps=(1, 2)).select("jobs", "groups")
+
+
+@query
+def csv_sample(spark, sf_dir):
+    """Header, well-formed and skipped lines of a file's beginning; the file has one line too long."""
+    from ..sources import csv, sinks
+
+    folder = shared.new_folder(spark, "sample")
+    lines = [c.SEPARATOR.join(c.RAW_COLUMNS)]
+    for r in sales(spark, sf_dir).orderBy("ROW_KEY").limit(20).select(c.RECEIPT, c.STORE).collect():
+        lines.append(c.SEPARATOR.join(["", "WEB", "1", "p", "1", "0", "1", str(r[0]), str(r[1])] + [""] * (len(c.RAW_COLUMNS) - 9 + (r[0] % 3 == 0))))
+    sinks.write_text("\n".join(lines) + "\n", "sales.csv", folder)
+    found = csv.read_sample(spark, f"{folder}/sales.csv")
+    return spark.createDataFrame([(len(found.header), found.rows, found.skipped)], "columns long, rows long, skipped long")
+
+
+@query
+def saved_report(spark, sf_dir):
+    """A report written as JSON and read again."""
+    from ..sources import sinks
+
+    _, parameters = features.standardize(sales(spark, sf_dir))
+    path = sinks.save_json({k: {"mean": m, "std": d} for k, (m, d) in parameters.items()}, "scaling", shared.new_folder(spark, "reports"))
+    whole = spark.read.json(path, multiLine=True)
+    return whole.select(F.explode(F.array(*(F.struct(F.lit(k).alias("variable"), F.col(f"`{k}`.mean").alias("mean"), F.col(f"`{k}`.std").alias("std")) for k in parameters))).alias("r")).select("r.variable", _r("r.mean", 6, "mean"), _r("r.std", 6, "std"))
+
+
+@query
+def saved_model(spark, sf_dir):
+    """A fitted model written as JSON and read again."""
+    from ..sources import sinks
+
+    d, train, _ = _modulo(spark, sf_dir)
+    model, _ = regression.fit(d, train)
+    names = list(model.to_dict())
+    whole = spark.read.json(sinks.save_model(model.to_dict(), "model", shared.new_folder(spark, "models")), multiLine=True)
+    return whole.select(F.explode(F.array(*(F.struct(F.lit(k).alias("variable"), F.round(f"`{k}`", 4).alias("coefficient")) for k in names))).alias("r")).select("r.*")
+
+
+@query
+def extrapolability(spark, sf_dir):
+    """The rules that fire for the full regression and the spiked sales' cleaning."""
+    _, cleaning = quality.clean_dataset(_spiked(spark, sf_dir))
+    _, diagnostics, metrics = regression.fit_and_diagnose(sales(spark, sf_dir), key=F.col("ROW_KEY"))
+    return spark.createDataFrame([(w,) for w in report.extrapolability(metrics, diagnostics, cleaning)["advertencias"]], "warning string")
+
+
+@query
+def validation_summary(spark, sf_dir):
+    df = sales(spark, sf_dir)
+    _, _, metrics = regression.fit_and_diagnose(df, key=F.col("ROW_KEY"))
+    found = report.validation_summary(spark, metrics, segments.segment(df))
+    return found.withColumns({"valor_principal": _r("valor_principal", 4), "valor_secundario": _r("valor_secundario", 4)})
