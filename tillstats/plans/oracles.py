@@ -387,6 +387,7 @@ ORACLES: dict[str, str] = {
     "scaling_study": f"WITH {_S} SELECT CAST(j AS INTEGER) AS jobs, (SELECT count(DISTINCT LOCAL) FROM sales) AS groups FROM range(1, 3) t(j)",
     "csv_sample": f"WITH {_S}, t AS (SELECT BOLETA FROM sales ORDER BY ROW_KEY LIMIT 20) SELECT CAST(15 AS BIGINT) AS columns, count(*) FILTER (WHERE BOLETA % 3 <> 0) AS rows, count(*) FILTER (WHERE BOLETA % 3 = 0) AS skipped FROM t",
 }
+ORACLES["stream_days"] = f"WITH {_S} SELECT CAST(FECHA AS DATE) AS ds, round(sum(MONTO_APLICADO), 4) AS y FROM sales GROUP BY 1 HAVING CAST(FECHA AS DATE) + INTERVAL 1 DAY <= (SELECT max(FECHA) FROM sales) - INTERVAL 2 DAY"
 ORACLES["saved_report"], ORACLES["saved_model"] = ORACLES["scaling"], ORACLES["ols_fit"]
 ORACLES["extrapolability"] = _union(
     [

@@ -494,3 +494,15 @@ def validation_summary(spark, sf_dir):
     _, _, metrics = regression.fit_and_diagnose(df, key=F.col("ROW_KEY"))
     found = report.validation_summary(spark, metrics, segments.segment(df))
     return found.withColumns({"valor_principal": _r("valor_principal", 4), "valor_secundario": _r("valor_secundario", 4)})
+
+
+@query
+def stream_days(spark, sf_dir):
+    """Daily sums of the sales as a stream: the days whose watermark has passed, written once each."""
+    from ..streaming import daily
+
+    source, out, state = (shared.new_folder(spark, x) for x in ("stream", "days", "state"))
+    sales(spark, sf_dir).select(c.DATE, c.AMOUNT).write.parquet(source)
+    stream = spark.readStream.schema(f"{c.DATE} timestamp, {c.AMOUNT} double").parquet(source)
+    daily.write(daily.daily_sums(stream), out, state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("ds date, y double").parquet(out).select("ds", _r("y", 4))
