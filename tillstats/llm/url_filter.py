@@ -4,12 +4,13 @@ Two variable-order Markov models over bytes, one for URLs that a rule allows and
 blocks, are interpolated from order ``ORDER`` down to uniform: the estimate of each order
 counts as ``STRENGTH`` observations of the next. Counts cover all ruled URLs outside the calibration fold, one
 row for each distinct n-gram of either class, known by 64 bits: the table grows with the n-grams that occur, and no two
-share a count at any size of input. It is gathered and broadcast, 24 bytes an n-gram. The score is the difference of log-likelihoods per byte. The ruled URLs of the calibration fold, in a histogram of
+share a count at any size of input. It stays distributed: URLs are dealt to parts, each part asks for the counts of its own
+distinct n-grams, and a task holds no more than these. The score is the difference of log-likelihoods per byte. The ruled URLs of the calibration fold, in a histogram of
 fixed bins, turn it into the probability of a block by isotonic regression with both classes weighed alike; from one half
 up the verdict is block.
 
 Rules are (host, path, verdict). A rule fits its host and all subdomains if the path starts with the
-rule's; of several that fit the longest (host and path) wins, ties by order in the list.
+rule's; of several that fit the longest (host and path) wins, of equally long ones the last in the list.
 
 The models learn from and score the whole URL as it is written, with scheme, query and fragment.
 
@@ -125,10 +126,11 @@ def grams(rows: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
 
 
-def train(rows: DataFrame) -> Models | None:
-    """Models of allowed and blocked texts from rows (text, verdict); None unless both occur."""
-    found = common.gathered(grams(rows))  # a row for each distinct n-gram, far fewer than URLs have bytes
-    return Models(found["key"], found["allowed"], found["blocked"]) if found["allowed"].any() and found["blocked"].any() else None
+def train(rows: DataFrame) -> DataFrame | None:
+    """Written counts of n-grams (key, allowed, blocked) from rows (text, verdict); None unless both classes occur."""
+    counts = common.cut(grams(rows))
+    found = counts.agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).first()
+    return counts if found["allowed"] and found["blocked"] else None
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -147,22 +149,34 @@ def _bin(score: Column) -> Column:
     return F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((score + SPAN) * (BINS / (2 * SPAN))))).cast("int")
 
 
-def _scored(rows: DataFrame, models: Models) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+def _scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (text and more) with a column ``score`` by the counts that ``train`` has written."""
+    parts = common.partitions(rows.sparkSession, rows)
+    dealt = rows.withColumn("part_", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int"))
+    schema = rows.withColumn("score", F.lit(0.0)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 20_000):
-                part = batch.slice(lo, 20_000)
-                found = _scores(part.column(part.schema.names.index("text")), shared.value)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=[*part.schema.names, "score"])
+    def asked(key, table):
+        text, found = table.column("text").combine_chunks(), np.zeros(0, np.int64)
+        for lo in range(0, len(text), 20_000):
+            _, contexts, nexts, _ = _grams(text.slice(lo, 20_000))
+            found = textbuf.distinct(np.concatenate([found, *contexts, *nexts]))
+        return pa.table([pa.array(np.full(len(found), key[0].as_py(), np.int32)), pa.array(found)], names=["part_", "key"])
+
+    def score(key, table, known):
+        models = Models(*(known.column(c).to_numpy() for c in ("key", "allowed", "blocked")))
+        own = table.drop_columns("part_")
+        text = own.column("text").combine_chunks()
+        found = [_scores(text.slice(lo, 20_000), models) for lo in range(0, len(text), 20_000)]
+        return own.append_column("score", pa.array(np.concatenate([np.zeros(0), *found])))
 
-    return rows.mapInArrow(textbuf.lean(run), rows.withColumn("score", F.lit(0.0)).schema)
+    wanted = dealt.select("part_", "text").groupBy("part_").applyInArrow(asked, "part_ int, key long")
+    met = wanted.join(counts, "key")
+    return dealt.groupBy("part_").cogroup(met.groupBy("part_")).applyInArrow(score, schema)
 
 
-def calibrate(rows: DataFrame, models: Models) -> np.ndarray:
-    """Probability of a block by score bin, from rows (text, verdict) that the models haven't seen."""
-    found = _scored(rows, models).groupBy("verdict", _bin(F.col("score")).alias("bin")).agg(F.count("*").alias("n")).collect()  # 2 * BINS rows at most
+def calibrate(scored: DataFrame) -> np.ndarray:
+    """Probability of a block by score bin, from rows (verdict, score) that the models haven't seen."""
+    found = scored.groupBy("verdict", _bin(F.col("score")).alias("bin")).agg(F.count("*").alias("n")).collect()  # 2 * BINS rows at most
     counts = np.zeros((2, BINS))
     for verdict, k, n in found:
         counts[int(verdict == "block"), int(k)] += n
@@ -186,8 +200,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     models = train(known.where(fold != 0))
     if models is None:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"), F.lit(0.0).alias("probability"))
-    table = calibrate(known.where(fold == 0), models)
-    probability = F.element_at(F.lit(table.tolist()), _bin(F.col("score")) + 1)
-    scored = _scored(rows, models).withColumn("probability", probability)
+    scored = common.cut(_scored(rows, models))
+    table = calibrate(scored.where(F.col("verdict").isNotNull() & (fold == 0)))
+    scored = scored.withColumn("probability", F.element_at(F.lit(table.tolist()), _bin(F.col("score")) + 1))
     own = F.when((F.col("probability") >= 0.5) & (F.col("text") != ""), "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score", "probability")
